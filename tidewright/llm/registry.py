@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_simhash": simhash.op7_simhash,
     "op8_pack": packing.op8_pack,
     "op10_bpe": bpe.op10_bpe,
 }
