@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, secrets, simhash
+from . import bpe, fingerprints, packing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_pack": packing.op8_pack,
