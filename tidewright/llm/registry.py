@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, packing, quality, secrets, simhash
+from . import bpe, fingerprints, language, packing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_quality": quality.op3_quality,
+    "op5_language": language.op5_language,
     "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_pack": packing.op8_pack,
