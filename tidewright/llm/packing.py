@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_letters
 from .common import parts, slices, table
 
 #: Tokens of a full sequence, the id that ends a document.
@@ -46,6 +48,10 @@ CACHE_PIECES = 700_000
 SEED = 20_240_601
 #: A character with an id of its own, set between pieces that are encoded together.
 MARK = "\x01"
+#: Punctuation that is taken off the end of a piece.
+STOPS = ".,;:!?%&$#*|"
+#: Below this letter lower-casing and composition take each letter by itself.
+LATIN_END = "\u0250"
 
 
 @lru_cache(maxsize=1)
@@ -130,11 +136,38 @@ class Pieces:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.merges, self.letters = self.library.model.tokenize, byte_letters()
         self.marker = self.library.encode(MARK, add_special_tokens=False).ids[0]
         self.cache: dict[str, bytes] = {"": b""}
 
     def learn(self, new: list[str]) -> None:
-        """Encode many pieces in one call, with a marker between them.
+        """Remember the ids of new pieces.
+
+        Latin letters with or without punctuation after them are the tokens of
+        the letters and then those of the punctuation, as the tokenizer never
+        joins the two. Such letters are one word for its merges whatever stands
+        around them, so the library's model takes them directly, lower-cased
+        and in its byte alphabet. All other pieces go through the whole library.
+        """
+        cache, whole, apart = self.cache, set(), []
+        for w in new:
+            base = w.rstrip(STOPS)
+            low = base.lower()
+            if low.isalpha() and max(low) < LATIN_END and max(base) < LATIN_END:
+                stops = w[len(base) :]
+                apart.append((w, low, stops))
+                if low not in cache:
+                    spelt = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
+                    cache[low] = np.array([t.id for t in self.merges(spelt)], self.kind).tobytes()
+                whole.add(stops)
+            else:
+                whole.add(w)
+        self.ask([w for w in whole if w not in cache])
+        for w, base, stops in apart:
+            cache[w] = cache[base] + cache[stops]
+
+    def ask(self, new: list[str]) -> None:
+        """Encode many pieces in one call of the library, with a marker between them.
 
         The marker's id comes from its own character alone, so it can't come
         out of a piece without that character; the others go one by one.
@@ -153,13 +186,20 @@ class Pieces:
                 self.cache[w] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*split).difference(self.cache):
-            if len(self.cache) + len(new) > CACHE_PIECES:
+        """Each text's ids; copies among ``texts`` are encoded once."""
+        different = list(dict.fromkeys(texts))
+        split = [t.replace("\n", " ").split(" ") for t in different]
+        words = list(chain.from_iterable(split))
+        found = list(map(self.cache.get, words))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            if len(self.cache) + 2 * len(missing) > CACHE_PIECES:
                 self.cache = {"": b""}
-                new = set().union(*split).difference(self.cache)
-            self.learn(list(new))
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), self.kind) for words in split]
+            self.learn(list({words[i] for i in missing}))
+            for i in missing:
+                found[i] = self.cache[words[i]]
+        ends = list(accumulate(map(len, split), initial=0))
+        ids = {t: np.frombuffer(b"".join(found[a:b]), self.kind) for t, a, b in zip(different, ends, ends[1:], strict=False)}
+        return [ids[t] for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language, packing, quality, secrets, simhash
+from . import bpe, fingerprints, html, language, packing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_pack": packing.op8_pack,
+    "op9_html": html.op9_html,
     "op10_bpe": bpe.op10_bpe,
 }
 
