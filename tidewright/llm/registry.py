@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, language, packing, quality, secrets, simhash
+from . import bpe, fingerprints, html, language, packing, quality, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_urls": urls.op1_urls,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_quality": quality.op3_quality,
     "op5_language": language.op5_language,
