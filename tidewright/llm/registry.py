@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, language, packing, quality, secrets, simhash, urls
+from . import bpe, fingerprints, html, language, packing, quality, secrets, simhash, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_urls": urls.op1_urls,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_quality": quality.op3_quality,
+    "op4_vectors": vectors.op4_vectors,
     "op5_language": language.op5_language,
     "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
