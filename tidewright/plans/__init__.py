@@ -1,5 +1,6 @@
 """Views, windowed reports and record jobs as registered queries."""
 
+from . import range_queries as range_queries
 from . import view_queries as view_queries
 from .registry import ORACLE_SQL, QUERIES
 
