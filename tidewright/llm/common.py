@@ -31,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(side: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``side``, marked for broadcast only if it was counted to have few rows.
+
+    ``side`` must be materialised. Beyond ``most_rows`` the join is Spark's to plan.
+    """
+    return F.broadcast(side) if side.count() <= most_rows else side
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,8 +12,8 @@ path; a page without that path, or with little text there, falls back on its
 own container.
 
 Votes are pre-aggregated, so a host with a third of all pages is a few rows.
-The winners (one row a host) are joined to the pages by Spark's own choice:
-broadcast if they are small, else a shuffle whose skewed hosts Spark splits.
+The winners (one row a host) are broadcast if they are counted to be few;
+else the join is a shuffle whose skewed hosts Spark splits.
 
 Defined results: null and empty html give the empty text; cut-off pages keep
 their last block; an unfinished tag or comment at the end is dropped; a null
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, table
+from .common import cut, slices, small, table
 
 #: Share of a container's text that its part must hold for the search to go on into it.
 DOMINANT = 0.8
@@ -271,7 +271,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", out: st
     winners = cut(vote(pages, url, html)).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
     kept = [c for c in pages.columns if c not in (html, out)]
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())])
-    joined = pages.select(*kept, F.col(html).alias("_html"), host_of(F.col(url)).alias("_host")).join(winners, "_host", "left")
+    joined = pages.select(*kept, F.col(html).alias("_html"), host_of(F.col(url)).alias("_host")).join(small(winners), "_host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
