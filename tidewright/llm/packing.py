@@ -1,19 +1,18 @@
 """Pack token sequences in the order of a space-filling curve.
 
 Each document's hashed byte 4-gram vector is projected to ``DIMENSIONS``
-numbers and placed on a Hilbert curve. One range shuffle brings documents that
-are near on the curve into the same partition in curve order; there they are
-tokenised and laid end to end into sequences. The curve key is the only thing
-that is computed before the shuffle (its sampling pass costs little), so every
-text is tokenised once.
+numbers and placed on a Hilbert curve. The curve is cut into stretches that
+hold about equally many documents; one shuffle brings each stretch into one
+partition, in curve order, where its documents are tokenised and laid end to
+end into sequences. Only the curve key is computed before the shuffle.
 
 Documents are cut where a sequence is full. What is left at the end of a
 partition is cut into sequences whose lengths are powers of two, which need no
 padding. So no sequence at all is padded unless it is too short for the
 pieces.
 
-Copies share one key; the id is the second range key, so a group of copies of
-any size is dealt over many partitions. A task holds one batch and one open
+Copies share one key; the id is the second key of a stretch's ends, so a group
+of copies of any size is dealt over many stretches. A task holds one batch and one open
 sequence. Its input is sorted by all its columns, so a task that runs again
 makes the same pieces with the same sequence ids.
 
@@ -25,6 +24,9 @@ table gives no pieces; other columns are left out.
 from __future__ import annotations
 
 import math
+import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -43,15 +45,16 @@ from .common import parts, slices, table
 CONTEXT, END_ID = 2048, 1
 #: Buckets of the hashed vector, dimensions and bits a dimension of the curve.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
-#: White-space pieces whose ids a worker remembers at most.
-CACHE_PIECES = 700_000
+#: White-space pieces whose ids a worker remembers, beside those of one slice.
+CACHE_PIECES = 300_000
 SEED = 20_240_601
+#: Documents whose keys decide where the stretches of the curve end.
+SAMPLE = 20_000
 #: A character with an id of its own, set between pieces that are encoded together.
 MARK = "\x01"
-#: Punctuation that is taken off the end of a piece.
-STOPS = ".,;:!?%&$#*|"
-#: Below this letter lower-casing and composition take each letter by itself.
-LATIN_END = "\u0250"
+#: Latin letters, which lower-casing and composition take one by one (but for the
+#: dotted capital I), and the punctuation that is taken off their end.
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%&$#*|]*)").fullmatch
 
 
 @lru_cache(maxsize=1)
@@ -60,12 +63,11 @@ def projection() -> np.ndarray:
 
 
 def hashed(text: str) -> np.ndarray:
-    """The text's hashed 4-gram counts, damped by the square root and of unit length."""
+    """The text's hashed byte 4-gram counts."""
     raw = text.encode()
     # The 4-grams that start at bytes 0, 4, 8, ..., then at 1, 5, 9, ..., and so on.
     grams = np.concatenate([np.frombuffer(raw, "<u4", max(0, len(raw) - i) // 4, min(i, len(raw))) for i in range(4)])
-    counts = np.sqrt(np.bincount((grams * np.uint32(0x9E3779B1)) >> np.uint32(22), minlength=BUCKETS))
-    return counts / max(float(np.sqrt(counts @ counts)), 1.0)
+    return np.bincount((grams * np.uint32(0x9E3779B1)) >> np.uint32(22), minlength=BUCKETS)
 
 
 def cells(points: np.ndarray) -> np.ndarray:
@@ -106,19 +108,49 @@ def hilbert(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def with_curve_key(df: DataFrame, text: str = "text", key: str = "curve_key") -> DataFrame:
-    """``df`` with each text's place on the curve; equal texts share it."""
-    kept = [c for c in df.columns if c != key]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(key, T.LongType())])
+def curve_keys(texts: list[str]) -> np.ndarray:
+    """Each text's place on the curve; equal texts share it.
 
+    The counts are damped by the square root and brought to unit length, which
+    by then is the square root of their sum.
+    """
+    counts = np.array([hashed(t) for t in texts]).reshape(-1, BUCKETS)
+    vectors = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+    return hilbert(cells(vectors @ projection()))
+
+
+def deal(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc, text, curve_key, stretch): the documents with their stretch of the curve.
+
+    Stretches lie between quantiles of (key, id) over about ``sample`` rows
+    drawn at random, as Spark's own range shuffle would draw them; unlike that,
+    the keys of the others are computed once. The sample decides nothing but
+    how even the stretches are.
+    """
+    spark = df.sparkSession
+    wanted = 4 * parts(spark)
+    n = df.count()
+    drawn = df.sample(min(1.0, sample / max(n, 1)), SEED).mapInArrow(_keyed(None), _KEYED).select("curve_key", "at").collect()
+    points = sorted((r[0], r[1]) for r in drawn)
+    bounds = sorted({points[len(points) * i // wanted] for i in range(1, wanted)}) if points else []
+    return df.mapInArrow(_keyed(bounds), _KEYED)
+
+
+_KEYED = "doc long, text string, curve_key long, at long, stretch int"
+
+
+def _keyed(bounds: list[tuple[int, int]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            vectors = np.array([hashed(t or "") for t in texts]).reshape(-1, BUCKETS)
-            keys = hilbert(cells(vectors @ projection()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in kept), pa.array(keys)], names=[*kept, key])
+            if not batch.num_rows:
+                continue
+            keys = curve_keys([t or "" for t in batch.column(1).to_pylist()]).tolist()
+            at = [-(1 << 63) if d is None else d for d in batch.column(0).to_pylist()]
+            stretch = [bisect_right(bounds, x) if bounds else 0 for x in zip(keys, at, strict=True)]
+            text = batch.column(1) if bounds is not None else pa.nulls(batch.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(stretch, pa.int32())], names=["doc", "text", "curve_key", "at", "stretch"])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return run
 
 
 class Pieces:
@@ -136,6 +168,7 @@ class Pieces:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.merges, self.letters = self.library.model.tokenize, byte_letters()
         self.marker = self.library.encode(MARK, add_special_tokens=False).ids[0]
         self.cache: dict[str, bytes] = {"": b""}
@@ -149,19 +182,20 @@ class Pieces:
         around them, so the library's model takes them directly, lower-cased
         and in its byte alphabet. All other pieces go through the whole library.
         """
-        cache, whole, apart = self.cache, set(), []
+        cache, letters, merges = self.cache, self.letters, self.merges
+        whole, apart = set(), []
         for w in new:
-            base = w.rstrip(STOPS)
-            low = base.lower()
-            if low.isalpha() and max(low) < LATIN_END and max(base) < LATIN_END:
-                stops = w[len(base) :]
-                apart.append((w, low, stops))
-                if low not in cache:
-                    spelt = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
-                    cache[low] = np.array([t.id for t in self.merges(spelt)], self.kind).tobytes()
-                whole.add(stops)
-            else:
+            if (m := _LATIN(w)) is None or "\u0130" in w:
                 whole.add(w)
+                continue
+            base, stops = m.groups()
+            base = base.lower()
+            if base not in cache:
+                spelt = base if base.isascii() else "".join(map(letters.__getitem__, base.encode()))
+                cache[base] = array(self.code, [t.id for t in merges(spelt)]).tobytes()
+            if stops:
+                whole.add(stops)
+            apart.append((w, base, stops))
         self.ask([w for w in whole if w not in cache])
         for w, base, stops in apart:
             cache[w] = cache[base] + cache[stops]
@@ -192,8 +226,8 @@ class Pieces:
         words = list(chain.from_iterable(split))
         found = list(map(self.cache.get, words))
         if missing := [i for i, x in enumerate(found) if x is None]:
-            if len(self.cache) + 2 * len(missing) > CACHE_PIECES:
-                self.cache = {"": b""}
+            if len(self.cache) > CACHE_PIECES:  # what this slice uses stays
+                self.cache = {"": b""} | {w: x for w, x in zip(words, found, strict=True) if x is not None}
             self.learn(list({words[i] for i in missing}))
             for i in missing:
                 found[i] = self.cache[words[i]]
@@ -242,10 +276,10 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str =
     integers.
     """
     spark = df.sparkSession
-    keyed = with_curve_key(df.select(F.col(id_column).alias("doc"), F.col(text).alias("text")))
-    dealt = keyed.repartitionByRange(parts(spark), "curve_key", "doc").sortWithinPartitions("curve_key", "doc", "text")
+    keyed = deal(df.select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text")))
+    dealt = keyed.repartition(parts(spark), "stretch").sortWithinPartitions("stretch", "curve_key", "doc", "text")
     schema = T.StructType(
-        [T.StructField(id_column, df.schema[id_column].dataType)]
+        [T.StructField(id_column, T.LongType())]
         + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
         + [T.StructField("token_ids", T.BinaryType())]
     )
@@ -275,7 +309,7 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str =
         if rows:
             yield made(rows)
 
-    return dealt.drop("curve_key").mapInArrow(run, schema)
+    return dealt.select("doc", "text").mapInArrow(run, schema)
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
