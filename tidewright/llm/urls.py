@@ -10,8 +10,9 @@ towards the share in the whole table, reaches ``REJECT``.
 
 Every step groups by keys that contain the segment or joins on them, so a host
 with a third of all pages is counted by many tasks and pre-aggregated in each.
-Branches that are kept are at most ``MAX_CHILDREN`` a node; Spark broadcasts
-them if they are few and splits skewed joins if not.
+Branches that are kept (at most ``MAX_CHILDREN`` a node) and templates are
+broadcast where they are counted to be few, else Spark splits skewed joins.
+Each level is checkpointed.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 no rule and the template of the empty path; a url without labels anywhere is
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 from .html import host_of
 
 #: Children of a node that may have branches of their own; pages and labels such a branch needs.
@@ -109,7 +110,8 @@ def templates(urls: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         able = child.filter((F.col("pages") >= MIN_PAGES) & (F.col("labelled") >= MIN_LABELS))
         apart = able.join(all_.filter(F.col("children") <= MAX_CHILDREN), node).filter(~_same(mine, rest)).select(*node, "seg", F.lit(True).alias("own"))
         step = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("own"), F.concat(F.lit("/"), F.col("seg"))).otherwise(F.lit("/*"))
-        now = now.join(apart, [*node, "seg"], "left").withColumn("template", F.concat("template", step)).drop("seg", "own")
+        # Each level is read twice by the next: without a cut the plan would double with every level.
+        now = cut(now.join(small(cut(apart)), [*node, "seg"], "left").withColumn("template", F.concat("template", step)).drop("seg", "own"))
     return now.drop("s")
 
 
@@ -127,7 +129,7 @@ def judge(pages: DataFrame, labels: DataFrame, key: Column, url: str = "url", ru
     prior = named.agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()[0]
     purity = count.select("host", "template", ((F.col("bad_n") + F.lit(STRENGTH * prior)) / (F.col("n") + F.lit(STRENGTH))).alias("bad_share"))
     rule = longest_rule(F.col("host"), F.col("path"), rules)
-    out = named.join(purity, ["host", "template"]).withColumn("by", rule)
+    out = named.join(small(cut(purity)), ["host", "template"]).withColumn("by", rule)
     verdict = F.coalesce("by.verdict", F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow"))
     return out.select("row.*", "host", "path", F.col("by.rule").alias("rule"), verdict.alias("verdict"), "template", "bad_share")
 
