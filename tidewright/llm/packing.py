@@ -182,23 +182,26 @@ class Pieces:
         around them, so the library's model takes them directly, lower-cased
         and in its byte alphabet. All other pieces go through the whole library.
         """
-        cache, letters, merges = self.cache, self.letters, self.merges
-        whole, apart = set(), []
+        cache, letters, merges, code = self.cache, self.letters, self.merges, self.code
+        whole = []
         for w in new:
-            if (m := _LATIN(w)) is None or "\u0130" in w:
-                whole.add(w)
+            if w.isascii() and w.isalpha():
+                base, stops = w.lower(), ""
+            elif (m := _LATIN(w)) is not None and "\u0130" not in w:
+                base, stops = m.groups()
+                base = base.lower()
+            else:
+                whole.append(w)
                 continue
-            base, stops = m.groups()
-            base = base.lower()
-            if base not in cache:
+            if (ids := cache.get(base)) is None:
                 spelt = base if base.isascii() else "".join(map(letters.__getitem__, base.encode()))
-                cache[base] = array(self.code, [t.id for t in merges(spelt)]).tobytes()
+                ids = cache[base] = array(code, [t.id for t in merges(spelt)]).tobytes()
             if stops:
-                whole.add(stops)
-            apart.append((w, base, stops))
-        self.ask([w for w in whole if w not in cache])
-        for w, base, stops in apart:
-            cache[w] = cache[base] + cache[stops]
+                if stops not in cache:
+                    self.ask([stops])
+                ids += cache[stops]
+            cache[w] = ids
+        self.ask(whole)
 
     def ask(self, new: list[str]) -> None:
         """Encode many pieces in one call of the library, with a marker between them.
