@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import records, strings, text, times
-from tidewright.operators import joins, names, slots
+from tidewright.operators import joins, monitors, names, slots
 from tidewright.plans import jobs
 from tidewright.sources import files
 from tidewright.streaming import launches
@@ -175,3 +175,34 @@ def test_launches_seed_silently_and_fire_once(spark, tmp_path):
     step([("b", 3, 5), ("c", 1, 6)])
     assert sorted((r["id"], r["n"]) for r in spark.read.parquet(f"{base}/out").collect()) == [("b", 1), ("c", 1)]
     assert sorted(r["id"] for r in spark.read.parquet(f"{base}/seen").collect()) == ["a", "b", "c"]
+
+
+def test_outcomes_of_three_kinds(spark):
+    assert monitors.outcome(lambda: spark.range(1))[0] == "data"
+    assert monitors.outcome(lambda: spark.table("no_such_view"))[0] == "missing"
+    assert monitors.outcome(lambda: spark.range(1).select("no_such_column"))[0] == "error"
+
+
+def test_failed_sources_contribute_nothing(spark):
+    rows, failed = monitors.survivors({"a": lambda: spark.range(2), "b": lambda: spark.table("no_such_view")})
+    assert rows.count() == 2 and list(failed) == ["b"]
+
+
+def test_underperformers_at_their_limits(spark):
+    base = dict(status="Active", lead_count="0", completed="0", contacted="500", replied="2", positive="0", away="0", lead_total="0")
+    cases = [
+        ({}, "pause", "low rate"),
+        ({"contacted": "499"}, "ok", "rate"),
+        ({"replied": "2.5"}, "ok", "rate"),
+        ({"contacted": "2000", "replied": "100"}, "pause", "no positive"),
+        ({"contacted": "1999", "replied": "100"}, "ok", "rate"),
+        ({"positive": "1"}, "ok", "positive"),
+        ({"away": "20", "lead_total": "100"}, "pause", "low rate"),
+        ({"away": "21", "lead_total": "100"}, "skip", "away"),
+        ({"lead_count": "500"}, "skip", "complete"),
+        ({"status": None}, "skip", "inactive"),
+        ({"contacted": "x"}, "ok", "rate"),
+    ]
+    df = spark.createDataFrame([{**base, **c, "i": i} for i, (c, _, _) in enumerate(cases)], "i int, status string, lead_count string, completed string, contacted string, replied string, positive string, away string, lead_total string")
+    got = {r["i"]: (r["decision"], r["reason"]) for r in monitors.decide(df).collect()}
+    assert got == {i: (d, r) for i, (_, d, r) in enumerate(cases)}

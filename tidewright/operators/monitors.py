@@ -63,3 +63,16 @@ def survivors(sources: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame
             continue
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out, failed
+
+
+def outcome(load: Callable[[], DataFrame]) -> tuple[str, DataFrame | None, str]:
+    """(``data``, rows, '') or (``missing``, None, why) for a table that isn't there, or (``error``, None, why)."""
+    from pyspark.errors import AnalysisException, PySparkException
+
+    try:
+        return "data", load(), ""
+    except AnalysisException as error:
+        kind = "missing" if error.getCondition() in ("TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND") else "error"
+        return kind, None, str(error).splitlines()[0]
+    except PySparkException as error:
+        return "error", None, str(error).splitlines()[0]
