@@ -5,7 +5,8 @@ text (shares of character kinds, repeats of words and lines, word lengths). It
 is learnt from preference pairs, a good document over a bad one, by logistic
 loss on the difference of their features. The threshold is the quantile of the
 strengths, over all labelled documents, that the share of bad labels asks for;
-the score is the logistic function of the strength above it.
+the score is the logistic function of the strength above it. Close to that
+quantile the widest gap between two strengths is taken.
 
 Learning reads about ``MAX_LABELLED`` labelled documents a class, chosen by a
 hash of the id; only their features reach the driver. Scoring is one narrow
@@ -33,8 +34,10 @@ from pyspark.sql import types as T
 from .common import fold, slices, table
 
 #: Labelled documents a class (in expectation) and preference pairs that learning uses at most.
-MAX_LABELLED, PAIRS = 3000, 30_000
+MAX_LABELLED, PAIRS = 8000, 30_000
 RIDGE, STEPS, SEED = 1e-3, 60, 7
+#: How far from the quantile, as a part of it, the threshold may lie.
+NEAR = 0.1
 
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 _MARKS = [ord(c) for c in "!?|#$%&*,.;:-_/\\()[]{}<>@=+~^'\""]
@@ -117,8 +120,12 @@ def rank(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIRS
     strengths = np.concatenate([up, down])
     share = np.concatenate([np.full(len(up), (1 - bad_share) / len(up)), np.full(len(down), bad_share / len(down))])
     order = np.argsort(strengths, kind="stable")
-    below = np.searchsorted(np.cumsum(share[order]), bad_share * (1 - 1e-9))
-    at = min(below, len(order) - 2)
+    # The widest gap between strengths near the quantile: a fitted quantile may lie a few rows off it.
+    mass = np.cumsum(share[order])[:-1]
+    gaps = np.diff(strengths[order])
+    near = np.abs(mass - bad_share) <= NEAR * bad_share
+    near[np.abs(mass - bad_share).argmin()] = True
+    at = np.flatnonzero(near)[gaps[near].argmax()]
     threshold = (strengths[order[at]] + strengths[order[at + 1]]) / 2
     return Ranking(mean, spread, w, float(threshold), float(max(np.abs(np.median(up) - np.median(down)) / 8, 1e-6)))
 
