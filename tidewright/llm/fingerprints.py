@@ -4,7 +4,7 @@ Every ``GRAM`` consecutive code points are hashed; in every window of
 ``WINDOW`` hashes the least is selected, the rightmost of equals. A hash and
 its position are packed into one number (the hash above, the position counted
 down below), so the least number of a window is the rightmost least hash.
-Window minima come from halving: minima of windows of 2, 4, 8, ... hashes.
+Minima of windows of 2, 4, 8, ... hashes lead to those of the whole window.
 
 A passage of ``GRAM + WINDOW - 1`` code points that two texts share has a
 window of its own in both, so they share a selected hash: the match guarantee.
@@ -46,26 +46,38 @@ def _packed(hashed: Column, position: Column) -> Column:
     return F.shiftleft(F.shiftrightunsigned(hashed, 33), 31).bitwiseOR(F.lit(_LAST).cast("long") - position)
 
 
-def minima(text: Column) -> Column:
-    """The packed minimum of every window of a text, in order."""
-    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % GRAM), F.lit(1))
-    least = F.transform(grams, lambda g, i: _packed(F.xxhash64(g), i))
-    step = 1
-    while step < WINDOW:
-        least = _wider(least, step)
-        step *= 2
-    full = F.char_length(text) - F.lit(GUARANTEE - 1)
+def _grams(text: Column) -> Column:
+    """The packed hash of every gram, or of the whole of a text that is shorter; none for the empty text."""
+    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % GRAM), F.lit(1))
     whole = F.array(_packed(F.xxhash64(text), F.lit(0)))
     return (
-        F.when(F.char_length(text) >= GRAM, F.slice(least, F.lit(1), F.greatest(full, F.lit(1))))
+        F.when(F.char_length(text) >= GRAM, F.transform(grams, lambda g, i: _packed(F.xxhash64(g), i)))
         .when(F.char_length(text) > 0, whole)
         .otherwise(F.slice(whole, 1, 0))
     )
 
 
-def _wider(least: Column, step: int) -> Column:
-    """Minima of windows twice as wide; windows that pass the end are cut short there."""
-    return F.transform(F.array(least), lambda m: F.zip_with(m, F.slice(m, F.lit(step + 1), F.greatest(F.size(m), F.lit(1))), lambda a, b: F.least(a, b)))[0]
+def with_minima(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the packed minimum of every window of a text, in order.
+
+    Each step takes minima of windows twice as wide; windows that pass the end
+    are cut short there, and are left out at last if there is a full one. The
+    steps are columns of their own, so none is computed twice.
+    """
+    df = df.withColumn(out, _grams(F.col(text)))
+    step = 1
+    while step < WINDOW:
+        later = F.slice(out, F.lit(step + 1), F.greatest(F.size(out), F.lit(1)))
+        df = df.withColumn(out, F.zip_with(out, later, lambda a, b: F.least(a, b)))
+        step *= 2
+    full = F.char_length(text) - F.lit(GUARANTEE - 1)
+    return df.withColumn(out, F.slice(out, F.lit(1), F.greatest(full, F.least(F.size(out), F.lit(1)))))
+
+
+def few_minima(text: Column) -> Column:
+    """The same for a short text, window by window."""
+    window = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - (WINDOW - 1), F.lit(1))), lambda i: F.array_min(F.slice(g, i, F.lit(WINDOW))))
+    return F.filter(F.transform(F.array(_grams(text)), window)[0], lambda m: m.isNotNull())
 
 
 def written(selected: Column) -> Column:
@@ -87,7 +99,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``df`` with the winnowed fingerprint of a column of texts."""
-    return df.withColumn(out, written(F.array_distinct(minima(F.coalesce(F.col(text), F.lit(""))))))
+    whole = with_minima(df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), "__text", "__minima")
+    return whole.withColumn(out, written(F.array_distinct("__minima"))).drop("__text", "__minima")
 
 
 def in_buckets(docs: DataFrame, order: str) -> DataFrame:
@@ -132,31 +145,31 @@ def edited(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     docs = df.select(F.col(id_column).alias("doc"), F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = in_buckets(docs, "at").repartition(parts(spark), "bucket")
     keys = [F.col("bucket"), F.col("edge"), F.col("at").desc(), F.col("text")]
-    own = dealt.sortWithinPartitions(*keys).withColumn("m", minima(F.col("text")))
+    own = with_minima(dealt.sortWithinPartitions(*keys), "text", "m")
     own = own.withColumn("s", F.array_distinct("m")).withColumn("n", F.char_length("text"))
     window = Window.partitionBy("bucket").orderBy(*keys[1:])
-    ahead = own.withColumn("next", F.lead(F.struct("text", "m", "s", "n")).over(window)).filter("edge = 0")
+    ahead = own.withColumns({f"next_{c}": F.lead(c).over(window) for c in ("text", "m", "s", "n")}).filter("edge = 0")
 
     reach = F.lit(GUARANTEE - 1)
     cut_at = ahead.withColumn("half", F.floor(F.col("n") / 2).cast("int"))
-    cut_at = cut_at.withColumn("keep", F.col("n") - F.col("half")).withColumn("take", F.least("half", F.col("next.n")))
-    cut_at = cut_at.withColumn("head", F.expr("substring(text, 1, keep)")).withColumn("tail", F.expr("substring(next.text, 1, take)"))
+    cut_at = cut_at.withColumn("keep", F.col("n") - F.col("half")).withColumn("take", F.least("half", "next_n"))
+    cut_at = cut_at.withColumn("head", F.expr("substring(text, 1, keep)")).withColumn("tail", F.expr("substring(next_text, 1, take)"))
     keep, take = F.col("keep"), F.col("take")
     before, after = F.least(keep, reach), F.least(take, reach)
     cut_at = cut_at.withColumn("seam", F.concat(F.substring("head", keep - before + 1, before), F.substring("tail", F.lit(1), after)))
     seam = F.col("seam")
     # The seam counts if it has a full window, or is all of the edited text.
-    seamed = F.when((F.char_length(seam) >= GUARANTEE) | (F.char_length(seam) == keep + take), minima(seam)).otherwise(F.slice(F.col("m"), 1, 0))
+    seamed = F.when((F.char_length(seam) >= GUARANTEE) | (F.char_length(seam) == keep + take), few_minima(seam)).otherwise(F.slice(F.col("m"), 1, 0))
     later = lambda values, by: F.transform(values, lambda x: x - by.cast("long"))
     chosen = F.array_distinct(
         F.concat(
             F.slice("m", F.lit(1), F.greatest(keep - reach, F.lit(0))),
             later(seamed, keep - before),
-            later(F.slice(F.col("next.m"), F.lit(1), F.greatest(take - reach, F.lit(0))), keep),
+            later(F.slice(F.col("next_m"), F.lit(1), F.greatest(take - reach, F.lit(0))), keep),
         )
     )
     done = cut_at.withColumn("e", chosen).withColumn("edited", F.concat("head", "tail")).withColumn("h", hashes(F.col("s")))
-    done = done.withColumn("h_edited", hashes(F.col("e"))).withColumn("h_next", hashes(F.col("next.s")))
+    done = done.withColumn("h_edited", hashes(F.col("e"))).withColumn("h_next", hashes(F.col("next_s")))
     return done.select(
         F.col("doc").alias(id_column),
         F.col("n").cast("long").alias("n_chars"),
