@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts
+
+#: Edges of a checkpoint file.
+EDGES_A_FILE = 200_000
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -27,6 +30,8 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 60) -> DataFr
     before = _signature(now)
     if before[0] == 0:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    # Rounds never add edges, so few edges need few checkpoint files.
+    files = min(parts(edges.sparkSession), 1 + before[0] // EDGES_A_FILE)
     for _ in range(max_rounds):
         # Large star: hang every larger neighbour of a node on the least node around it.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,11 +40,12 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 60) -> DataFr
         # Small star: hang every smaller neighbour and the node itself on its least neighbour.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
         after = _signature(now)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    itself = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(itself)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, parts, slices, table
+from .common import cut, parts, slices, small, table
 from .graph import components
 
 #: Words of a shingle, seed of its hash, bits in which linked fingerprints may differ.
@@ -225,11 +225,13 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     classes = hashed.groupBy("simhash").agg(F.min("doc").alias("first"))
     edges = links(classes.select("simhash"), "simhash")
     joined = components(edges, "u", "v")
-    # The least id of a component, over its fingerprints.
-    rooted = classes.join(joined, classes["simhash"] == joined["node"], "left").select("simhash", "first", F.coalesce("root", "simhash").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(least, "root").select("simhash", "component_id")
-    return hashed.join(labels, "simhash", "left").select(F.col("doc").alias(id_column), "simhash", "component_id")
+    # The least id of a component, over its fingerprints; the others are classes of their own.
+    member = joined.withColumnRenamed("node", "simhash").join(classes, "simhash").select("simhash", "first", "root")
+    least = cut(member.groupBy("root").agg(F.min("first").alias("least")))
+    found = joined.join(small(least), "root").select(F.col("node").alias("simhash"), "least")
+    # Cut, so that both sides of the last join are plain shuffles: then Spark can split a fingerprint that a third of all rows share.
+    labels = cut(classes.join(found, "simhash", "left").select("simhash", F.coalesce("least", "first").alias("component_id")))
+    return hashed.join(small(labels), "simhash", "left").select(F.col("doc").alias(id_column), "simhash", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
