@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,11 @@ from pyspark.sql import types as T
 
 from .common import slices, table
 
-#: Words and pairs a worker remembers at most.
+#: Words (beside those of one slice) and pairs a worker remembers at most.
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 400_000
+#: The rank of a pair that never merges.
+_NEVER = 1 << 62
 
 # The split pattern of byte-level BPE and Unicode's white space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -70,7 +72,9 @@ class ByteBPE:
         self.bytes_of: list[bytes] = [b""] * self.size
         for s, i in self.id_of.items():
             self.bytes_of[i] = s
-        self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        # A pair of ids as one number; its rank is its place among the merges, which gives the id that it becomes.
+        self.rank = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in reversed(list(enumerate(pairs)))}
+        self.becomes = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
@@ -79,7 +83,7 @@ class ByteBPE:
         self.proposals = {s: i for s, i in self.id_of.items() if self.merge(s) == [i]}
         self.reach: dict[bytes, int] = {}
         for s in self.proposals:
-            self.reach[s[:2]] = max(self.reach.get(s[:2], 1), len(s))
+            self.reach[s[:3]] = max(self.reach.get(s[:3], 2), len(s))
         self.words = regex.compile(_SPLIT)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # No word of the split pattern can be a special string: those are cut out before.
@@ -88,24 +92,16 @@ class ByteBPE:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the pair of the lowest rank first, leftmost of equals."""
-        ids, rank, none = [self.by_byte[b] for b in word], self.rank, (1 << 60, -1)
-        while len(ids) > 1:
-            best, into, at = 1 << 60, -1, -1
-            for i in range(len(ids) - 1):
-                r, t = rank.get((ids[i], ids[i + 1]), none)
-                if r < best:
-                    best, into, at = r, t, i
-            if at < 0:
-                break
-            a, b, out, i = ids[at], ids[at + 1], ids[:at], at
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(into)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        ids, rank = [self.by_byte[b] for b in word], self.rank.get
+        ranks = [rank(a << 32 | b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (low := min(ranks)) < _NEVER:
+            i = ranks.index(low)
+            ids[i] = self.becomes[low]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], _NEVER)
         return ids
 
     def long_merge(self, word: bytes) -> list[int]:
@@ -118,17 +114,17 @@ class ByteBPE:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j >= 0 and (found := self.rank.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+            if j >= 0 and (r := self.rank.get(ids[i] << 32 | ids[j])) is not None:
+                heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, a, b, into = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else -1
             if j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = into, -1
+            ids[i], ids[j] = self.becomes[r], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -141,7 +137,7 @@ class ByteBPE:
         """The longest proposal from the left, again and again."""
         out, at, end, known, reach = [], 0, len(word), self.proposals, self.reach
         while at < end:
-            stop = min(end, at + reach.get(word[at : at + 2], 1))
+            stop = min(end, at + reach.get(word[at : at + 3], 2))
             while stop > at + 1 and word[at:stop] not in known:
                 stop -= 1
             out.append(known[word[at:stop]])
@@ -181,15 +177,19 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if new := set().union(*split).difference(cache):
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                cache.update((s, i.to_bytes(4, "little")) for s, i in self.special.items())
-                new = set().union(*split).difference(cache)
-            self.learn(list(new))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        different = list(dict.fromkeys(texts))
+        split = [self.pieces(t) for t in different]
+        words = list(chain.from_iterable(split))
+        found = list(map(self.cache.get, words))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            if len(self.cache) > CACHE_WORDS:  # what this slice uses stays
+                self.cache = {s: i.to_bytes(4, "little") for s, i in self.special.items()} | {w: x for w, x in zip(words, found, strict=True) if x is not None}
+            self.learn(list({words[i] for i in missing}))
+            for i in missing:
+                found[i] = self.cache[words[i]]
+        ends = list(accumulate(map(len, split), initial=0))
+        ids = {t: b"".join(found[a:b]) for t, a, b in zip(different, ends, ends[1:], strict=False)}
+        return [ids[t] for t in texts]
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids, special tokens included."""
