@@ -94,7 +94,7 @@ def thread_rep_attribution(t: Funnel) -> DataFrame:
     live = (
         today.join(contact, "email", "left")
         .join(campaign, "first_seen_campaign", "left")
-        .join(signed_reps(t, threads_today(t)), "conv_id", "left")
+        .join(signed_reps(t, snapshots.latest(t["thread_snapshot"])), "conv_id", "left")
         .join(rich, "email", "left")
         .join(appt, "email", "left")
         .join(deals, "email", "left")
