@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, in five stages.
+"""From raw documents to packed training sequences, in six stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the
 stage before kept; every stage but the last returns the columns of documents.
@@ -9,7 +9,9 @@ stage before kept; every stage but the last returns the columns of documents.
 3. near_duplicates: of each group of near copies the document with the least
    id stays; of rows that repeat an id, the one with the least text.
 4. secrets: found credentials are masked in the text, and n_chars follows.
-5. packing: the pieces of all documents with their token ids.
+5. shingle_copies: of each group of texts whose sets of five-word shingles are
+   alike by 0.8 or more, the document with the least id stays, as in 3.
+6. packing: the pieces of all documents with their token ids.
 
 Null texts count as empty; rows with a null id are kept apart by their text.
 """
@@ -21,7 +23,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import language, packing, quality, secrets, simhash
+from tidewright.llm import copies, language, packing, quality, secrets, simhash
 from tidewright.llm.common import table
 
 #: Least score of a recognised language.
@@ -42,15 +44,23 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.filter((F.col("_lang") != language.NONE) & (F.col("_sure") >= MIN_LANGUAGE_SCORE)).drop("_lang", "_sure")
 
 
-def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_first(docs: DataFrame, find) -> DataFrame:
     keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
-    classes = simhash.near_duplicates(keyed.select("_key", "text"), "_key")
+    classes = find(keyed.select("_key", "text"), "_key")
     first = classes.select(F.col("component_id").alias("_key")).distinct()
     rest = [c for c in docs.columns if c != "text"]
     row = F.min(F.struct("text", *rest)).alias("row")
     return keyed.join(first, "_key", "left_semi").groupBy("_key").agg(row).select("row.*").select(*docs.columns)
 
 
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_first(docs, simhash.near_duplicates)
+
+
+def keep_first_shingle_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_first(docs, copies.near_copies)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
@@ -67,6 +77,7 @@ STAGES = [
     ("language", keep_language),
     ("near_duplicates", keep_first_copies),
     ("secrets", mask_secrets),
+    ("shingle_copies", keep_first_shingle_copies),
     ("packing", pack),
 ]
 

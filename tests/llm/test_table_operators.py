@@ -357,3 +357,35 @@ def test_pipeline_run_is_registered(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"](spark, SF).count() > 100
+
+
+def test_shingle_copies_equal_brute_force(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+    from tidewright.llm import copies
+
+    draw = random.Random(4)
+    rows, base = ["", " ", None, "a b", "A  b", "a b c"], []
+    for _ in range(12):
+        words = [str(draw.randrange(10**6)) for _ in range(draw.randrange(30, 300))]
+        base.append(words)
+        for _ in range(6):
+            other = list(words)
+            for _ in range(draw.randrange(1, 2 + len(words) // 30)):
+                other[draw.randrange(len(other))] = "changed"
+            rows.append(" ".join(other))
+    shared = " ".join(str(i) for i in range(40))  # a notice that many texts carry
+    rows += [f"{shared} {' '.join(w[:9])}" for w in base]
+    sets = [set(copies.shingles(t or "").tolist()) for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    want = roots(len(rows), pairs)
+    least = {r: min(i for i, x in enumerate(want) if x == r) for r in set(want)}
+    df = texts(spark, rows)
+    for list_rows in (2048, 3):
+        monkeypatch.setattr(copies.links, "__defaults__", (list_rows,))
+        got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(df).collect()}
+        assert got == {i: least[r] for i, r in enumerate(want)}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id IN (1, 177)")
+    for name, stage in pipeline.STAGES[:-1]:
+        if name in ("near_duplicates", "secrets", "shingle_copies"):
+            docs = stage(spark, docs, SF)
+    assert [r["doc_id"] for r in docs.collect()] == [1]

@@ -1,0 +1,186 @@
+"""Near copies by the shingles that texts share, without loss.
+
+Two texts are near copies if the Jaccard similarity of their sets of word
+shingles (as 64-bit hashes) is at least ``ALIKE``. SimHash can't serve here: at
+similarity 0.8 fingerprints differ in about ten of 64 bits, and then no
+positional byte need be equal.
+
+The index is a prefix filter. With the shingles of every set in one common
+order, sets that are alike share a shingle among the first ``size - ceil(0.8 size)
++ 1`` of each. Any common order is right; common shingles come last, so that
+lists stay short. Which ones are common is estimated from a bounded sample,
+and only speed depends on it.
+
+Only distinct sets are indexed. First every member of a list is compared with
+the list's least member; then all pairs of a list whose ends are not connected
+yet. So a large group of near copies costs its members, not its pairs. Lists
+longer than ``LIST_ROWS`` are dealt into chunk pairs. Every pair that passes
+the filters is verified on the whole sets.
+
+Defined results: as in ``simhash``: texts with fewer words than a shingle are
+one shingle; null, empty and white-space texts have the empty set and are
+copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, slices, small
+from .graph import components
+
+#: Words of a shingle; least similarity, as a fraction.
+SHINGLE_WORDS, ALIKE = 5, (4, 5)
+#: Documents sampled for common shingles, sampled documents that make one common, common shingles at most.
+SAMPLE_DOCS, COMMON_DOCS, MOST_COMMON = 5000, 3, 50_000
+#: Members of a list that are paired under one key.
+LIST_ROWS = 2048
+
+
+def shingles(text: str, n_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    begins = [0]
+    for w in words:
+        begins.append(begins[-1] + len(w) + 1)
+    begins = begins if len(words) > n_words else [0, begins[-1]]
+    step = min(n_words, len(begins) - 1)
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[a : b - 1]) for a, b in zip(begins, begins[step:], strict=False)]), np.uint64))
+
+
+def _signature(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes())
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """Shingles of many documents in a sample, the least common first."""
+    every = max(texts.count() // SAMPLE_DOCS, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingles(t or "").view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["shingle"])
+
+    some = texts.filter(F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long")
+    counted = some.groupBy("shingle").count().filter(F.col("count") >= COMMON_DOCS)
+    rows = counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()
+    return np.array([r["shingle"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefix(found: np.ndarray, common: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The first shingles of a set: any two sets that are alike share one of them.
+
+    ``common`` are the shingles that come last, in order; ``order`` sorts them by value.
+    """
+    rank = np.zeros(len(found), np.int64)
+    if len(common):
+        at = order[np.minimum(np.searchsorted(common, found, sorter=order), len(common) - 1)]
+        known = common[at] == found
+        rank[known] = at[known] + 1
+    a, b = ALIKE
+    return found[np.lexsort((found, rank))][: len(found) - -(-a * len(found) // b) + 1]
+
+
+def _signed(df: DataFrame, common: np.ndarray) -> DataFrame:
+    """(doc, sig, n, prefix) of every row of ``df`` (doc, text)."""
+    order = np.argsort(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t or "") for t in batch.column(1).to_pylist()]
+            firsts = [prefix(s, common, order).view(np.int64) if len(s) else [] for s in sets]
+            sigs = np.array([_signature(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sigs), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["doc", "sig", "n", "prefix"],
+            )
+
+    return df.select("doc", "text").mapInArrow(run, f"doc {df.schema['doc'].dataType.simpleString()}, sig long, n int, prefix array<long>")
+
+
+def _sets(df: DataFrame) -> DataFrame:
+    """(sig, shingles) of ``df`` (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t or "") for t in batch.column(0).to_pylist()]
+            sigs = np.array([_signature(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "shingles"])
+
+    return df.select("text").mapInArrow(run, "sig long, shingles array<long>")
+
+
+def _may_alike(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+    """Whether sets may be alike whose first common shingle stands at these positions."""
+    a, b = ALIKE
+    most = F.least(n_a - at_a, n_b - at_b)
+    return (b * F.least(n_a, n_b) >= a * F.greatest(n_a, n_b)) & ((a + b) * most >= a * (n_a + n_b))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are alike, materialised."""
+    ends = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct()
+    wanted = cut(firsts.join(ends, "sig").select("sig", "doc"))
+    sets = _sets(texts.join(small(wanted.select("doc").distinct()), "doc", "left_semi"))
+    sets = sets.join(small(wanted.select("sig")), "sig", "left_semi").dropDuplicates(["sig"])
+    x = sets.select(F.col("sig").alias("u"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("sig").alias("v"), F.col("shingles").alias("y"))
+    a, b = ALIKE
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut(pairs.join(x, "u").join(y, "v").filter((a + b) * shared >= a * (F.size("x") + F.size("y"))).select("u", "v"))
+
+
+def _lists(signed: DataFrame) -> DataFrame:
+    """(shingle, sig, n, at, members): the postings of lists of two sets at least."""
+    distinct = signed.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    postings = distinct.select("sig", "n", F.posexplode("prefix").alias("at", "shingle"))
+    long = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    return cut(postings.join(long, "shingle"))
+
+
+def _pairs(lists: DataFrame, list_rows: int) -> DataFrame:
+    """Distinct pairs (u, v) of a list that may be alike and have different roots."""
+    chunks = F.ceil(F.col("members") / list_rows).cast("int")
+    own = F.pmod(F.xxhash64("sig"), chunks).cast("int")
+    dealt = lists.withColumn("own", own).withColumn("last", chunks - 1)
+    left = dealt.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"), F.col("sig").alias("u"), F.col("n").alias("n_u"), F.col("at").alias("at_u"), F.col("root").alias("root_u"))
+    right = dealt.select("shingle", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("sig").alias("v"), F.col("n").alias("n_v"), F.col("at").alias("at_v"), F.col("root").alias("root_v"))
+    met = left.join(right, ["shingle", "i", "j"]).filter((F.col("root_u") != F.col("root_v")) & ((F.col("i") < F.col("j")) | (F.col("u") < F.col("v"))))
+    return met.filter(_may_alike(F.col("n_u"), F.col("at_u"), F.col("n_v"), F.col("at_v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def links(signed: DataFrame, texts: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(u, v): verified pairs of signatures that connect what all near copies connect."""
+    lists = _lists(signed)
+    firsts = signed.groupBy("sig").agg(F.min("doc").alias("doc"))
+    head = lists.groupBy("shingle").agg(F.min(F.struct("sig", "n", "at")).alias("head"))
+    star = lists.join(head, "shingle").filter((F.col("sig") != F.col("head.sig")) & _may_alike(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
+    near = _verified(cut(star.select(F.col("head.sig").alias("u"), F.col("sig").alias("v")).distinct()), texts, firsts)
+    roots = cut(components(near, "u", "v")).select(F.col("node").alias("sig"), "root")
+    # Lists of two have nothing left.
+    rest = lists.filter("members > 2").join(small(roots), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    return near.union(_verified(cut(_pairs(rest, list_rows)), texts, firsts))
+
+
+def near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component_id) for every row of ``df``; ids are not null."""
+    texts = df.select(F.col(id_column).alias("doc"), F.col(text).alias("text"))
+    signed = cut(_signed(texts, _common(texts)))
+    joined = components(links(signed, texts), "u", "v")
+    classes = signed.groupBy("sig").agg(F.min("doc").alias("first"))
+    member = joined.withColumnRenamed("node", "sig").join(classes, "sig")
+    least = cut(member.groupBy("root").agg(F.min("first").alias("least")))
+    found = joined.join(small(least), "root").select(F.col("node").alias("sig"), "least")
+    # Cut, so that Spark can split a set that a third of all rows share.
+    labels = cut(classes.join(found, "sig", "left").select("sig", F.coalesce("least", "first").alias("component_id")))
+    return signed.select("doc", "sig").join(small(labels), "sig").select(F.col("doc").alias(id_column), "component_id")
