@@ -92,6 +92,21 @@ def test_bad_branches_are_rejected_and_numbers_generalised(spark):
     assert {r["verdict"] for r in rest} == {"allow"} and len({r["template"] for r in rest[400:]}) == 1
 
 
+def test_branches_among_many_siblings_and_deep_down(spark):
+    rows, labels = [], []
+    for i in range(100):
+        rows += [(i, f"http://h.org/spam/{i}"), (1000 + i, f"http://h.org/section{i}/x")]
+        labels += [(i, True), (1000 + i, False)]
+        for k, name in ((2000, "bad"), (3000, "good")):
+            rows.append((k + i, f"http://d.org/a/b/{i}/c/d/e/f/g/h/{name}/{i}/z"))
+            labels.append((k + i, name == "bad"))
+    got = judged(spark, rows, labels)
+    assert {got[i]["verdict"] for i in [*range(100), *range(2000, 2100)]} == {"block"}
+    assert {got[i]["verdict"] for i in [*range(1000, 1100), *range(3000, 3100)]} == {"allow"}
+    assert {got[i]["template"] for i in range(100)} == {"/spam/*"} and {got[1000 + i]["template"] for i in range(100)} == {"/*/*"}
+    assert {got[2000 + i]["template"] for i in range(100)} == {"/*/*/*/*/*/*/*/*/*/bad/*/*"}
+
+
 def test_url_query_and_odd_tables(spark):
     assert urls.op1_urls(spark, SF).count() == 50
     empty = spark.createDataFrame([], "page_id long, url string")

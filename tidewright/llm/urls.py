@@ -1,18 +1,20 @@
 """URL filters: written rules first, then a tree of path templates learnt per host.
 
 Level by level, the children of a (host, template prefix) are counted with
-their good and bad labels. A child keeps its own branch if its parent has few
-children, it has support, and its share of bad labels differs from that of all
-its siblings together by a two-proportion test. All other children, variable
+their good and bad labels. A child keeps its own branch if it has support and its
+share of bad labels differs from that of all its siblings together by a
+two-proportion test, however many siblings it has. All other children, variable
 segments such as numbers and branches that are statistically alike, become one
 wildcard branch. A template is rejected if its share of bad labels, smoothed
 towards the share in the whole table, reaches ``REJECT``.
 
 Every step groups by keys that contain the segment or joins on them, so a host
 with a third of all pages is counted by many tasks and pre-aggregated in each.
-Branches that are kept (at most ``MAX_CHILDREN`` a node) and templates are
-broadcast where they are counted to be few, else Spark splits skewed joins.
-Each level is checkpointed.
+Branches that are kept (by their support, at most one in ``MIN_PAGES`` pages)
+and templates are broadcast where they are counted to be few, else Spark splits
+skewed joins. Each level is checkpointed. The levels end where no page is left
+that shares its node with enough pages and labels for a branch below it: there
+the rest of every path is wildcards, one a segment.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 no rule and the template of the empty path; a url without labels anywhere is
@@ -33,12 +35,10 @@ from pyspark.sql import functions as F
 from .common import cut, small, table
 from .html import host_of
 
-#: Children of a node that may have branches of their own; pages and labels such a branch needs.
-MAX_CHILDREN, MIN_PAGES, MIN_LABELS = 50, 20, 8
+#: Pages and labels that a branch of its own needs.
+MIN_PAGES, MIN_LABELS = 20, 8
 #: Normal quantile beyond which two branches differ; labels' worth of smoothing; share of bad labels that rejects.
 DIFFERENT, STRENGTH, REJECT = 2.58, 10.0, 0.5
-#: Segments that have levels of their own; what lies deeper is one segment.
-MAX_DEPTH = 8
 OUT = ("host", "path", "rule", "verdict", "template", "bad_share")
 
 
@@ -89,30 +89,32 @@ def _same(a: Column, b: Column) -> Column:
     return (n_a < MIN_LABELS) | (n_b < MIN_LABELS) | (apart <= DIFFERENT * noise)
 
 
-def templates(urls: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def templates(urls: DataFrame) -> DataFrame:
     """``urls`` (key, host, path, bad: true, false or null) with ``template``."""
-    # The segments; those beyond the last level are one.
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    deep = F.when(F.size("s") > max_depth, F.concat(F.slice("s", 1, max_depth - 1), F.array(F.array_join(F.slice("s", F.lit(max_depth), F.size("s")), "/")))).otherwise(F.col("s"))
-    now = cut(urls.withColumn("s", parts).withColumn("s", deep).withColumn("template", F.lit("")))
-    depth = now.agg(F.coalesce(F.max(F.size("s")), F.lit(0))).first()[0]
+    now = cut(urls.withColumn("s", parts).withColumn("template", F.lit("")))
     node = ["host", "template"]
-    for level in range(1, depth + 1):
+    level = 0
+    while True:
+        level += 1
         now = now.withColumn("seg", F.get("s", F.lit(level - 1)))
         child = now.filter("seg IS NOT NULL").groupBy(*node, "seg").agg(
             F.count(F.lit(1)).alias("pages"),
             F.count("bad").alias("labelled"),
             F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad"),
         )
-        all_ = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        all_ = child.groupBy(*node).agg(F.sum("pages").alias("all_pages"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         mine = F.struct("bad", "labelled")
         rest = F.struct((F.col("all_bad") - F.col("bad")).alias("bad"), (F.col("all_labelled") - F.col("labelled")).alias("labelled"))
         able = child.filter((F.col("pages") >= MIN_PAGES) & (F.col("labelled") >= MIN_LABELS))
-        apart = able.join(all_.filter(F.col("children") <= MAX_CHILDREN), node).filter(~_same(mine, rest)).select(*node, "seg", F.lit(True).alias("own"))
+        # Nodes only split further down, so below a level without such a node there is no branch.
+        if all_.filter((F.col("all_pages") >= MIN_PAGES) & (F.col("all_labelled") >= 2 * MIN_LABELS)).isEmpty():
+            left = F.greatest(F.size("s") - F.lit(level - 1), F.lit(0))
+            return now.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), left))).drop("s", "seg")
+        apart = able.join(all_, node).filter(~_same(mine, rest)).select(*node, "seg", F.lit(True).alias("own"))
         step = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("own"), F.concat(F.lit("/"), F.col("seg"))).otherwise(F.lit("/*"))
         # Each level is read twice by the next: without a cut the plan would double with every level.
         now = cut(now.join(small(cut(apart)), [*node, "seg"], "left").withColumn("template", F.concat("template", step)).drop("seg", "own"))
-    return now.drop("s")
 
 
 def judge(pages: DataFrame, labels: DataFrame, key: Column, url: str = "url", rules: Sequence[Rule] = RULES) -> DataFrame:
