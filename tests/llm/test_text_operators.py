@@ -234,6 +234,17 @@ def test_learnt_formats_find_bare_credentials_and_leave_words_alone(spark):
     assert all(v not in t for t in masked.values() for v in re.findall("token = (sk_\\w+)", " ".join(rows)))
 
 
+def test_short_and_dotted_formats_are_looked_for(spark):
+    draw = random.Random(9)
+    some = lambda n: "".join(draw.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    for value in (lambda: "q7-" + some(8), lambda: "k1." + some(9) + "." + some(9), lambda: "Zx9" + some(10) + "=="):
+        bare = [value() for _ in range(20)]
+        rows = [f"my password = {value()} ends" for _ in range(60)] + [f"pasted {v} here" for v in bare] + ["some ordinary sentence without anything. another follows."] * 9
+        masked = {r["doc_id"]: r["text"] for r in secrets.redact(texts(spark, rows)).collect()}
+        assert sum(masked[60 + i] == "pasted [SECRET] here" for i in range(20)) >= 18
+        assert all(masked[i] == rows[i] for i in range(80, len(rows)))
+
+
 def test_secrets_of_odd_rows(spark):
     rows = secrets.find_secrets(texts(spark, ODD)).collect()
     assert len(rows) == len(ODD)

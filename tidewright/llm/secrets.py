@@ -5,14 +5,17 @@ credentials: per kind, a prefix tree of the values' character classes is
 generalised by merging states whose outgoing and ending frequencies don't
 differ more than Hoeffding's bound allows. The automaton, the values' common
 prefix and their lengths give any string a format likelihood; a Markov model
-of the ordinary long tokens gives the other side. Every other token of a text
-is scored, and added as an ``inferred`` span where it is at least as likely as
+of all other tokens gives the other side. Every other token of a text, from the
+least length of a labelled value up and over the same characters, is scored,
+then without dots and equals signs around it, then its parts between them; the
+first that passes is added as an ``inferred`` span where it is at least as likely as
 the least likely of the labelled values but a few, and likelier than an
 ordinary token.
 
-Every text is scanned whole and once. What the scan leaves (spans and long
-tokens) is checkpointed; learning reads at most ``MAX_VALUES`` distinct values
-a kind, chosen by hash, and is the only thing on the driver.
+Every text is scanned whole and twice: to learn, and to find. The first scan
+leaves the labelled values and the counts of class pairs over every other token; they are checkpointed. The driver
+reads at most ``MAX_VALUES`` distinct values a kind, chosen by hash, and the
+summed counts.
 
 Defined results: null text is like empty text, without spans; spans are in
 code points, the end exclusive; repeated rows each carry their spans; without
@@ -25,8 +28,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,10 +39,10 @@ from pyspark.sql import types as T
 
 from .common import cut, slices, table
 
-#: Distinct labelled values a kind and ordinary tokens that learning reads at most.
-MAX_VALUES, MAX_TOKENS = 2000, 5000
-#: Characters of a token that is scored at least; significance of a merge; labelled values that may fall below the threshold.
-MIN_TOKEN, ALPHA, MISSED = 16, 0.05, 0.005
+#: Distinct labelled values a kind that learning reads at most; distinct tokens that a task holds, with their counts or scores.
+MAX_VALUES, HELD_TOKENS = 2000, 100_000
+#: Significance of a merge; labelled values that may fall below the threshold.
+ALPHA, MISSED = 0.05, 0.005
 KINDS = ("assign", "access", "hex", "inferred")
 
 # The patterns of the base spans.
@@ -46,7 +50,8 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+_PART = re.compile(r"[A-Za-z0-9+/_-]{6,}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -64,45 +69,75 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def other_tokens(text: str, spans: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, token) of the long tokens outside the base spans."""
-    if len(max(text.split(), key=len, default="")) < MIN_TOKEN:
-        return []
-    out, k = [], 0
-    ends = sorted((s[1], s[2]) for s in spans)
+def other_tokens(text: str, spans: list[tuple[str, int, int, str]]) -> Iterator[list[tuple[int, int, str]]]:
+    """For every token its (start, end, value): whole, without signs around it, its parts; none overlaps a base span."""
+    taken = [(s[1], s[2]) for s in spans]
     for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        while k < len(ends) and ends[k][1] <= a:
-            k += 1
-        if not any(s < b and a < e for s, e in ends[k : k + 8]):
-            out.append((a, b, m[0]))
+        run, at = m[0], m.start()
+        found = [(at, m.end(), run)]
+        if "." in run or "=" in run:
+            bare = run.strip(".=")
+            if len(bare) >= 6 and bare != run:
+                start = at + len(run) - len(run.lstrip(".="))
+                found.append((start, start + len(bare), bare))
+            found += [(at + x.start(), at + x.end(), x[0]) for x in _PART.finditer(run) if x[0] != bare]
+        elif not taken:
+            yield found
+            continue
+        if any(a < m.end() and at < b for a, b in taken):
+            # What a base span leaves of the token.
+            left = "".join(" " if any(a <= i < b for a, b in taken) else c for i, c in enumerate(run, at))
+            found = [(at + x.start(), at + x.end(), x[0]) for p in (_TOKEN, _PART) for x in p.finditer(left)]
+        if found:
+            yield found
+
+
+def inferred(text: str, spans: list[tuple[str, int, int, str]], passes) -> list[tuple[int, int, str]]:
+    """The tokens that pass, longest form first; none overlaps another."""
+    out = []
+    for forms in other_tokens(text, spans):
+        mine: list[tuple[int, int, str]] = []
+        for a, b, value in forms:
+            if passes(value) and not any(x < b and a < y for x, y, _ in mine):
+                mine.append((a, b, value))
+        out += sorted(mine)
     return out
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-_TOKENS = "array<struct<start:int,end:int,value:string>>"
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` without its text, with columns ``base`` and ``tokens``."""
-    kept = [c for c in df.columns if c not in (text, "base", "tokens")]
-    added = T._parse_datatype_string(f"base {_SPAN}, tokens {_TOKENS}")
-    schema = T.StructType([df.schema[c] for c in kept] + list(added.fields))
-    int_, str_ = pa.int32(), pa.string()
-    base_type = pa.list_(pa.struct([("kind", str_), ("start", int_), ("end", int_), ("value", str_)]))
-    token_type = pa.list_(pa.struct([("start", int_), ("end", int_), ("value", str_)]))
+def observe(df: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, value, n): labelled values, and as kind ``pair`` the counts of class pairs in all other tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: Counter = Counter()
+        pairs: Counter = Counter()
+
+        def spend() -> None:
+            for t, n in tokens.items():
+                classes = "^" + shape(t)
+                for x in zip(classes, classes[1:], strict=False):
+                    pairs["".join(x)] += n
+            tokens.clear()
+
+        def rows(found: list[tuple[str, str, int]]) -> pa.RecordBatch:
+            kind, value, n = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(n, pa.int64())], names=["kind", "value", "n"])
+
         for batch in slices(batches):
-            names = batch.schema.names
-            base, tokens = [], []
-            for t in batch.column(names.index(text)).to_pylist():
+            labelled: Counter = Counter()
+            for t in batch.column(0).to_pylist():
                 spans = base_spans(t) if t else []
-                base.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in spans])
-                tokens.append([dict(zip(("start", "end", "value"), s, strict=True)) for s in (other_tokens(t, spans) if t else [])])
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(base, base_type), pa.array(tokens, token_type)], names=[*kept, "base", "tokens"])
+                labelled.update((s[0], s[3]) for s in spans)
+                tokens.update(forms[0][2] for forms in (other_tokens(t, spans) if t else ()))
+            yield rows([(*k, n) for k, n in labelled.items()])
+            if len(tokens) > HELD_TOKENS:
+                spend()
+        spend()
+        yield rows([("pair", k, n) for k, n in pairs.items()])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(text).mapInArrow(run, "kind string, value string, n long")
 
 
 def shape(value: str) -> str:
@@ -226,12 +261,11 @@ class Ordinary:
         return sum(math.log(self.pairs.get(x, self.least) / _SIZE.get(x[1], 1)) for x in zip(classes, classes[1:], strict=False)) / max(len(value), 1)
 
 
-def ordinary(tokens: list[str]) -> Ordinary:
+def ordinary(pairs: Iterable[tuple[str, int]]) -> Ordinary:
+    """From (class pair, count) rows."""
     counts: dict[str, Counter] = defaultdict(Counter)
-    for t in tokens:
-        s = "^" + shape(t)
-        for a, b in zip(s, s[1:], strict=False):
-            counts[a][b] += 1
+    for (a, b), n in pairs:
+        counts[a][b] += n
     return Ordinary({(a, b): k / sum(c.values()) for a, c in counts.items() for b, k in c.items()})
 
 
@@ -250,7 +284,7 @@ class Formats:
         return best
 
 
-def learn(labelled: dict[str, list[str]], tokens: list[str]) -> Formats:
+def learn(labelled: dict[str, list[str]], pairs: Iterable[tuple[str, int]]) -> Formats:
     """One automaton a kind; half of the values set its threshold."""
     automata = {}
     for kind, values in labelled.items():
@@ -261,50 +295,58 @@ def learn(labelled: dict[str, list[str]], tokens: list[str]) -> Formats:
         scores = sorted(a.score(v) for v in values[1::2])
         a.threshold = scores[int(MISSED * len(scores))]
         automata[kind] = a
-    return Formats(automata, ordinary(tokens))
+    return Formats(automata, ordinary(pairs))
+
 
+def learn_from(df: DataFrame, text: str = "text", max_values: int = MAX_VALUES) -> Formats:
+    """Learn from at most ``max_values`` distinct values a kind, chosen by hash, and from all other tokens."""
+    seen = cut(observe(df, text))
 
-def learn_from(scanned: DataFrame, max_values: int = MAX_VALUES, max_tokens: int = MAX_TOKENS) -> Formats:
-    """Learn from at most ``max_values`` distinct values a kind, chosen by hash."""
+    def some(kind: str) -> list[str]:
+        values = seen.filter(F.col("kind") == kind).select("value").distinct()
+        return [r[0] for r in values.orderBy(F.xxhash64("value"), "value").limit(max_values).collect()]
 
-    def some(values: DataFrame, most: int) -> list[str]:
-        return [r[0] for r in values.distinct().orderBy(F.xxhash64("value"), "value").limit(most).collect()]
+    labelled = {k: some(k) for k in KINDS[:3]}
+    pairs = seen.filter("kind = 'pair'").groupBy("value").agg(F.sum("n").alias("n")).collect()
+    return learn({k: v for k, v in labelled.items() if v}, [(r["value"], r["n"]) for r in pairs])
 
-    base = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value")
-    labelled = {k: some(base.filter(F.col("kind") == k).select("value"), max_values) for k in KINDS[:3]}
-    tokens = some(scanned.select(F.explode("tokens").alias("t")).select("t.value"), max_tokens)
-    return learn({k: v for k, v in labelled.items() if v}, tokens)
+
+def _passes(formats: Formats):
+    """Whether a token passes, with the answers for the latest tokens kept."""
+    return lru_cache(HELD_TOKENS)(lambda value: formats.score(value)[1] >= 0)
 
 
 def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without its text, with ``base`` and ``spans``: base and inferred ones together."""
-    scanned = cut(scan(df, text))
-    formats = learn_from(scanned)
-    kept = [c for c in scanned.columns if c not in ("base", "tokens")]
+    formats = learn_from(df, text)
+    kept = [c for c in df.columns if c not in (text, "base", "spans")]
+    added = T._parse_datatype_string(f"base {_SPAN}, spans {_SPAN}")
+    schema = T.StructType([df.schema[c] for c in kept] + list(added.fields))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    schema = T.StructType([*(scanned.schema[c] for c in kept), scanned.schema["base"], T.StructField("spans", scanned.schema["base"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
+        passes = _passes(formats)
+        as_rows = lambda spans: [dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in spans]
+        for batch in slices(batches):
             names = batch.schema.names
-            spans = []
-            base = batch.column(names.index("base"))
-            for known, tokens in zip(base.to_pylist(), batch.column(names.index("tokens")).to_pylist(), strict=True):
-                more = [{"kind": "inferred", **t} for t in tokens if formats.score(t["value"])[1] >= 0]
-                spans.append(sorted(known + more, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), base, pa.array(spans, span)], names=[*kept, "base", "spans"])
+            base, spans = [], []
+            for t in batch.column(names.index(text)).to_pylist():
+                known = base_spans(t) if t else []
+                more = [("inferred", *x) for x in (inferred(t, known, passes) if t else [])]
+                base.append(as_rows(known))
+                spans.append(as_rows(sorted(known + more, key=lambda s: (s[1], KINDS.index(s[0])))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(base, span), pa.array(spans, span)], names=[*kept, "base", "spans"])
 
-    return scanned.select(*kept, "base", "tokens").mapInArrow(run, schema)
+    return df.select(*kept, text).mapInArrow(run, schema)
 
 
 def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every found span of ``text`` replaced by ``mask``; null stays null."""
-    scanned = cut(scan(df.select(text), text))
-    formats = learn_from(scanned)
+    formats = learn_from(df, text)
 
-    def clean(value: str) -> str:
+    def clean(value: str, passes) -> str:
         base = base_spans(value)
-        spans = [(s[1], s[2]) for s in base] + [(a, b) for a, b, t in other_tokens(value, base) if formats.score(t)[1] >= 0]
+        spans = [(s[1], s[2]) for s in base] + [(a, b) for a, b, _ in inferred(value, base, passes)]
         out, at = [], 0
         for a, b in sorted(spans):
             if b > at:
@@ -314,9 +356,10 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFra
         return "".join([*out, value[at:]]) if spans else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _passes(formats)
         for batch in slices(batches):
             i = batch.schema.names.index(text)
-            cleaned = pa.array([None if t is None else clean(t) for t in batch.column(i).to_pylist()], pa.string())
+            cleaned = pa.array([None if t is None else clean(t, passes) for t in batch.column(i).to_pylist()], pa.string())
             yield batch.set_column(i, pa.field(text, pa.string()), cleaned)
 
     return df.mapInArrow(run, df.schema)
