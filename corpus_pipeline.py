@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, in six stages.
+"""From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the
 stage before kept; every stage but the last returns the columns of documents.
@@ -6,25 +6,23 @@ stage before kept; every stage but the last returns the columns of documents.
 1. quality: documents that the learnt ranking puts below its threshold go.
 2. language: documents without a letter, or whose language isn't recognised
    with at least even odds, go.
-3. near_duplicates: of each group of near copies the document with the least
-   id stays; of rows that repeat an id, the one with the least text.
+3. near_duplicates: of each group of texts whose sets of five-word shingles
+   are alike by 0.8 or more, the document with the least id stays; of rows
+   with the least id of a group, one of them; null ids come last.
 4. secrets: found credentials are masked in the text, and n_chars follows.
-5. shingle_copies: of each group of texts whose sets of five-word shingles are
-   alike by 0.8 or more, the document with the least id stays, as in 3.
-6. packing: the pieces of all documents with their token ids.
+5. packing: the pieces of all documents with their token ids.
 
-Null texts count as empty; rows with a null id are kept apart by their text.
+Null texts count as empty. Rows that repeat an id with different texts are
+documents of their own.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import copies, language, packing, quality, secrets, simhash
-from tidewright.llm.common import table
+from tidewright.llm import language, packing, quality, secrets, simhash
+from tidewright.llm.common import shared_folder, table
 
 #: Least score of a recognised language.
 MIN_LANGUAGE_SCORE = 0.5
@@ -44,21 +42,14 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.filter((F.col("_lang") != language.NONE) & (F.col("_sure") >= MIN_LANGUAGE_SCORE)).drop("_lang", "_sure")
 
 
-def keep_first(docs: DataFrame, find) -> DataFrame:
-    keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
-    classes = find(keyed.select("_key", "text"), "_key")
-    first = classes.select(F.col("component_id").alias("_key")).distinct()
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # A row is named by its id and a hash of its text; null ids come last.
+    name = {"__last": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__same": F.xxhash64(F.coalesce("text", F.lit("")))}
+    keyed = docs.withColumns(name)
+    first = simhash.first_copies(keyed.select(*name, "text"), list(name))
     rest = [c for c in docs.columns if c != "text"]
     row = F.min(F.struct("text", *rest)).alias("row")
-    return keyed.join(first, "_key", "left_semi").groupBy("_key").agg(row).select("row.*").select(*docs.columns)
-
-
-def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first(docs, simhash.near_duplicates)
-
-
-def keep_first_shingle_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first(docs, copies.near_copies)
+    return keyed.join(first, list(name), "left_semi").groupBy(*name).agg(row).select("row.*").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +68,6 @@ STAGES = [
     ("language", keep_language),
     ("near_duplicates", keep_first_copies),
     ("secrets", mask_secrets),
-    ("shingle_copies", keep_first_shingle_copies),
     ("packing", pack),
 ]
 
@@ -85,11 +75,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again.
 
-    The files lie in the shared folder of ``spark.checkpoint.dir``; where that
-    is unset, as in tests, in a temporary one.
+    The files lie in the folder that driver and executors share.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{shared or tempfile.mkdtemp(prefix='tidewright-')}/pipeline-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = f"{shared_folder(spark)}/pipeline-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"

@@ -1,6 +1,7 @@
 """URL filters, near duplicates, packing, HTML, components and the pipeline, against brute force and on edge rows."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -344,8 +345,7 @@ def test_pipeline_stages(spark, tmp_path):
     kept = {r["doc_id"] for r in seen["near_duplicates"]}
     assert not {90_001, 90_002, 90_003} & kept
     copies, left = seen["near_duplicates"], {r["doc_id"] for r in seen["secrets"]}
-    prints = [plain_fingerprint(r["text"]) for r in copies]
-    want = roots(len(copies), [(i, j) for i in range(len(copies)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    want = alike_roots([r["text"] for r in copies])
     groups = defaultdict(set)
     for r, root in zip(copies, want, strict=True):
         groups[root].add(r["doc_id"])
@@ -374,10 +374,17 @@ def test_pipeline_run_is_registered(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 100
 
 
-def test_shingle_copies_equal_brute_force(spark, monkeypatch):
-    import corpus_pipeline as pipeline
-    from tidewright.llm import copies
+def alike_roots(rows):
+    """Components of the pairs whose sets of five-word shingles are alike by 0.8."""
+    sets = []
+    for t in rows:
+        words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))})
+    alike = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
+    return roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+
 
+def test_first_copies_equal_brute_force(spark, monkeypatch):
     draw = random.Random(4)
     rows, base = ["", " ", None, "a b", "A  b", "a b c"], []
     for _ in range(12):
@@ -390,17 +397,29 @@ def test_shingle_copies_equal_brute_force(spark, monkeypatch):
             rows.append(" ".join(other))
     shared = " ".join(str(i) for i in range(40))  # a notice that many texts carry
     rows += [f"{shared} {' '.join(w[:9])}" for w in base]
-    sets = [set(copies.shingles(t or "").tolist()) for t in rows]
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
-    want = roots(len(rows), pairs)
-    least = {r: min(i for i, x in enumerate(want) if x == r) for r in set(want)}
-    df = texts(spark, rows)
+    want = alike_roots(rows)
     for list_rows in (2048, 3):
-        monkeypatch.setattr(copies.links, "__defaults__", (list_rows,))
-        got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(df).collect()}
-        assert got == {i: least[r] for i, r in enumerate(want)}
-    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id IN (1, 177)")
-    for name, stage in pipeline.STAGES[:-1]:
-        if name in ("near_duplicates", "secrets", "shingle_copies"):
-            docs = stage(spark, docs, SF)
-    assert [r["doc_id"] for r in docs.collect()] == [1]
+        monkeypatch.setattr(simhash.shingles.classes, "__defaults__", (list_rows,))
+        monkeypatch.setattr(simhash.links, "__defaults__", (list_rows,))
+        got = {r["doc_id"] for r in simhash.first_copies(texts(spark, rows), ["doc_id"]).collect()}
+        assert got == {min(i for i, x in enumerate(want) if x == r) for r in set(want)}
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as pipeline
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(7, one), (7, two), (7, two), (3, one + " more"), (None, three), (None, three + " more"), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__id", F.lit("clash"))
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in pipeline.keep_first_copies(spark, docs, SF).collect()), key=str)
+    assert [d for d, _ in got] == [0, 3, 5, 7] and (7, two) in got and (3, one + " more") in got and (5, "") in got
+
+
+def test_components_with_a_hub(spark):
+    from tidewright.llm.graph import components
+
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {i: 0 for i in range(300)} | {i: 1000 for i in range(1000, 1041)}
+    for few in (50_000, 0):
+        assert {r["node"]: r["root"] for r in components(df, "a", "b", few=few).collect()} == want

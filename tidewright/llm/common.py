@@ -18,16 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is
-    set (local tests) a temporary one is made.
+    Only under a local master, as in tests, a temporary one takes its place
+    where none is set.
     """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
+        named = context.getCheckpointDir()
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewright-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -39,6 +50,22 @@ def small(side: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(side) if side.count() <= most_rows else side
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, most_keys: int = 1000) -> DataFrame:
+    """``rows`` joined to ``side``, whose ``count`` says how many of the rows have each ``key``.
+
+    Keys with over 1/``most_keys`` of all rows, of which there can be no more
+    than that, are broadcast; so no task gets the rows of a hot key. Keys are
+    not null and ``side`` is materialised.
+    """
+    bar = F.lit((side.agg(F.sum(count)).first()[0] or 0) / most_keys)
+    hot = side.filter(F.col(count) > bar).drop(count)
+    names = [c for c in hot.columns if c != key]
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    done = marked.filter("__hot").select(*rows.columns, *names)
+    rest = marked.filter("__hot IS NULL").select(*rows.columns).join(side.filter(F.col(count) <= bar).drop(count), key)
+    return done.union(rest.select(*done.columns))
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

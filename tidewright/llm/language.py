@@ -6,38 +6,42 @@ number). A softmax classifier predicts the family; within it, one linear
 support vector machine for each pair of languages votes, margins breaking
 ties.
 
-Learning reads about ``MAX_DOCS`` documents a language, chosen by a hash of
-the id; their profiles (``2 * BUCKETS`` small numbers) reach the driver.
-Prediction is one narrow pass over whole texts.
-
-Defined results: null text and text without a letter are ``und`` with score 0;
-rows with a null language are never learnt from; with one language, it is
-predicted for every text with a letter; without any, ``und``; repeated rows
-get equal results; other columns pass through (ones named like an output are
-replaced); an empty table gives an empty result.
+Learning reads about ``MAX_DOCS`` different texts a language, chosen by a hash
+of the text, so rows that repeat a text or an id add nothing to it. Their
+profiles (``2 * BUCKETS`` small numbers each) meet in one task, which fits the
+machines; only these reach the driver. Prediction is one narrow pass over
+whole texts.
+
+Defined results: null text and text without a letter (Unicode category L) are
+``und`` with score 0; rows with a null language are never learnt from; with
+one language, it is predicted for every text with a letter; without any,
+``und``; repeated rows get equal results and are learnt once; other columns
+pass through (ones named like an output are replaced); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold, slices, table
 
-#: Documents a language (in expectation) that learning uses; buckets of either profile.
+#: Texts a language (in expectation) that learning uses; buckets of either profile.
 MAX_DOCS, BUCKETS = 800, 1024
 PENALTY, STEPS, SEED = 1e-4, 300, 11
 NONE = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -70,9 +74,9 @@ def families(means: dict[str, np.ndarray]) -> list[list[str]]:
 
 def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
     """Weights of a softmax classifier by accelerated gradient steps; classes count alike."""
-    w = np.zeros((x.shape[1], classes))
+    w = np.zeros((x.shape[1], classes), x.dtype)
     ahead, share = w.copy(), 1 / np.bincount(y, minlength=classes)[y]
-    share /= share.sum()
+    share = (share / share.sum()).astype(x.dtype)
     for step in range(STEPS):
         z = x @ ahead
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -80,18 +84,19 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
         p[np.arange(len(y)), y] -= 1
         new = ahead - 4.0 * (x.T @ (p * share[:, None]) + PENALTY * ahead)
         ahead, w = new + step / (step + 3) * (new - w), new
-    return w
+    return w.astype(np.float64)
 
 
 def svm_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A linear machine with squared hinge loss; ``y`` is 1 or -1, classes count alike."""
-    w = np.zeros(x.shape[1])
-    ahead, share = w.copy(), np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1)) / 2
+    w = np.zeros(x.shape[1], x.dtype)
+    y = y.astype(x.dtype)
+    ahead, share = w.copy(), (np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1)) / 2).astype(x.dtype)
     for step in range(STEPS):
         short = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - 0.25 * (-2 * x.T @ (share * y * short) + PENALTY * ahead)
+        new = ahead - 0.25 * (x.T @ (-2 * share * y * short) + PENALTY * ahead)
         ahead, w = new + step / (step + 3) * (new - w), new
-    return w
+    return w.astype(np.float64)
 
 
 @dataclass
@@ -134,7 +139,7 @@ def fit(x: np.ndarray, names: list[str]) -> Hierarchy:
     named = np.array(names, object)
     groups = families({k: x[named == k].mean(axis=0) for k in languages})
     member = {k: g for g, group in enumerate(groups) for k in group}
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     family = softmax_fit(x, np.array([member[k] for k in names]), len(groups))
     pairs = {}
     for group in groups:
@@ -144,25 +149,32 @@ def fit(x: np.ndarray, names: list[str]) -> Hierarchy:
     return Hierarchy(groups, family, pairs)
 
 
-def learn(df: DataFrame, may_learn: Column, id_column: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS) -> Hierarchy:
+def learn(df: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS) -> Hierarchy:
     """Learn from the rows of ``df`` with a language that ``may_learn`` admits."""
-    known = df.filter(may_learn & F.col(lang).isNotNull()).select(F.col(id_column).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    known = df.filter(may_learn & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
-        return fit(np.zeros((0, 2 * BUCKETS)), [])
-    draw = F.pmod(F.xxhash64("doc", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+        return fit(np.zeros((0, 2 * BUCKETS), np.float32), [])
+    same = F.xxhash64("text", F.lit(SEED))
     rates = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(max_docs / n))])
-    some = known.filter(draw < rates[F.col("lang")])
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("x", T.BinaryType())])
+    some = known.withColumn("same", same).filter(F.pmod("same", F.lit(1 << 30)) / float(1 << 30) < rates[F.col("lang")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep = [(k, profile(t).astype(np.float32).tobytes()) for t, k in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) if t and _LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.string()), pa.array([x for _, x in keep], pa.binary())], names=["lang", "x"])
-
-    rows = some.select("text", "lang").mapInArrow(run, schema).collect()
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, 2 * BUCKETS)
-    return fit(x, [r["lang"] for r in rows])
+            keep = [(k, h, profile(t).astype(np.float32).tobytes()) for t, k, h in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True) if t and _LETTER.search(t)]
+            k, h, x = zip(*keep, strict=True) if keep else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(h, pa.int64()), pa.array(x, pa.binary())], names=["lang", "same", "x"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True))
+        names, packed = [r[0] for r in rows], b"".join(r[2] for r in rows)
+        del rows
+        model = fit(np.frombuffer(packed, np.float32).reshape(-1, 2 * BUCKETS), names)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    profiles = some.select("text", "lang", "same").mapInArrow(profiled, "lang string, same long, x binary")
+    different = profiles.groupBy("lang", "same").agg(F.first("x").alias("x"))
+    return pickle.loads(different.repartition(1).mapInArrow(fitted, "model binary").first()["model"])
 
 
 def predict(df: DataFrame, model: Hierarchy, text: str = "text", out: str = "lang_pred", score: str = "lang_score", drop_text: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ all fingerprints each, and tallying them would take time with the square of
 the corpus. So the index keeps lists for the intersections of three positions.
 Any four positions contain one of ``TRIPLES``, twenty sets of three; hence
 every pair that shares four positional bytes meets in some list. In a list the
-shared positional bytes of a pair are counted, pairs below the guaranteed
+shared positional bytes of every pair are counted, pairs below the guaranteed
 count are dropped, and the rest are verified bit by bit. No pair is missed.
 
 Only distinct fingerprints are indexed: copies join their class afterwards.
@@ -17,6 +17,13 @@ longer than ``LIST_ROWS`` is dealt into chunks and every pair of chunks is
 searched in a task of its own, so no list is collected into one task and none
 is capped.
 
+``near_duplicates`` gives the classes of linked fingerprints. ``first_copies``
+gives one row of each class of texts whose sets of ``SET_WORDS``-word shingles
+are alike by 0.8 or more: there the index only proposes, the sets themselves
+are compared, and since fingerprints of such sets differ in about ten of 64
+bits, too many for any positional byte to be sure, an exact prefix filter
+(``shingles``) finds the pairs that the index can't.
+
 Defined results: null, empty and white-space texts have fingerprint zero and
 are linked like any other; texts with fewer words than a shingle are one
 shingle; repeated rows stay and share their class; rows with a null id keep
@@ -26,21 +33,23 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, parts, slices, small, table
+from . import shingles
+from .common import cut, join_hot, parts, slices, small, table
 from .graph import components
 
 #: Words of a shingle, seed of its hash, bits in which linked fingerprints may differ.
 SHINGLE_WORDS, HASH_SEED, MAX_BITS = 4, 42, 4
+#: Words of a shingle where sets of shingles are compared.
+SET_WORDS = 5
 POSITIONS = 8
 #: Positional bytes that a linked pair is sure to share.
 SHARED = POSITIONS - MAX_BITS
@@ -68,23 +77,17 @@ def covering(positions: int = POSITIONS, four: int = SHARED, three: int = SHARED
 TRIPLES = covering()
 
 
-def fingerprint(text: str) -> int:
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     """The 64-bit SimHash of a text's word shingles, repeats counted."""
-    words = text.encode().lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return 0
-    joined, n = b" ".join(words), len(words)
-    if n <= SHINGLE_WORDS:
-        return xxhash.xxh64_intdigest(joined, HASH_SEED)
-    begins = [0]
-    for w in words:
-        begins.append(begins[-1] + len(w) + 1)
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a : b - 1], HASH_SEED) for a, b in zip(begins, begins[SHINGLE_WORDS:], strict=False)])
-    count = n - SHINGLE_WORDS + 1
+    return of_hashes(shingles.hashes(text, shingle_words, HASH_SEED))
+
+
+def of_hashes(found: bytes) -> int:
+    """The SimHash of packed big-endian 64-bit hashes: each bit that is set in over half of them."""
+    count = len(found) // 8
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8 * 16_384):
-        some = np.frombuffer(hashes, np.uint8, min(8 * 16_384, len(hashes) - at), at)
+    for at in range(0, len(found), 8 * 16_384):
+        some = np.frombuffer(found, np.uint8, min(8 * 16_384, len(found) - at), at)
         ones += np.unpackbits(some.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
@@ -117,8 +120,12 @@ def postings(distinct: DataFrame, column: str) -> DataFrame:
     return distinct.select(column).mapInArrow(run, "list long, member long")
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def linked(apart: np.ndarray) -> np.ndarray:
+    """Of pairs as differing bits: which share the guaranteed count of positional bytes and are verified."""
+    shared = (apart.view(np.uint8).reshape(-1, POSITIONS) == 0).sum(axis=1)
+    hit = shared >= SHARED
+    hit[hit] = np.bitwise_count(apart[hit]) <= MAX_BITS
+    return hit
 
 
 def forest(members: np.ndarray, other: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -134,13 +141,7 @@ def forest(members: np.ndarray, other: np.ndarray | None = None) -> list[tuple[i
     def near(value: np.uint64, side: int) -> np.ndarray:
         if not len(todo[side]):
             return todo[side]
-        apart = sides[side][todo[side]] ^ value
-        if len(apart) > 32:  # the count filter first: pairs below the guaranteed count go
-            equal = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            hit = equal >= SHARED
-            hit[hit] = _bits(apart[hit]) <= MAX_BITS
-        else:
-            hit = _bits(apart) <= MAX_BITS
+        hit = linked(sides[side][todo[side]] ^ value)
         found = todo[side][hit]
         todo[side] = todo[side][~hit]
         return found
@@ -189,7 +190,7 @@ def links(distinct: DataFrame, column: str, list_rows: int = LIST_ROWS) -> DataF
             edges: list[tuple[int, int]] = []
             # Pairs in lists of two, which are most, in one step.
             two = begins[(ends - begins == 2) & (i[begins] == j[begins])]
-            hit = two[_bits(member[two] ^ member[two + 1]) <= MAX_BITS]
+            hit = two[linked(member[two] ^ member[two + 1])]
             edges += zip(member[hit].tolist(), member[hit + 1].tolist(), strict=True)
             more = (ends - begins > 2) | ((ends - begins == 2) & (i[begins] != j[begins]))
             for a, b in zip(begins[more].tolist(), ends[more].tolist(), strict=True):
@@ -222,16 +223,33 @@ def links(distinct: DataFrame, column: str, list_rows: int = LIST_ROWS) -> DataF
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, simhash, component_id) for every row of ``df``."""
     hashed = cut(with_fingerprint(df.select(F.col(id_column).alias("doc"), F.col(text).alias("text")), "text"))
-    classes = hashed.groupBy("simhash").agg(F.min("doc").alias("first"))
+    classes = cut(hashed.groupBy("simhash").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")))
     edges = links(classes.select("simhash"), "simhash")
     joined = components(edges, "u", "v")
     # The least id of a component, over its fingerprints; the others are classes of their own.
     member = joined.withColumnRenamed("node", "simhash").join(classes, "simhash").select("simhash", "first", "root")
     least = cut(member.groupBy("root").agg(F.min("first").alias("least")))
     found = joined.join(small(least), "root").select(F.col("node").alias("simhash"), "least")
-    # Cut, so that both sides of the last join are plain shuffles: then Spark can split a fingerprint that a third of all rows share.
-    labels = cut(classes.join(found, "simhash", "left").select("simhash", F.coalesce("least", "first").alias("component_id")))
-    return hashed.join(small(labels), "simhash", "left").select(F.col("doc").alias(id_column), "simhash", "component_id")
+    labels = cut(classes.join(found, "simhash", "left").select("simhash", F.coalesce("least", "first").alias("component_id"), "rows"))
+    return join_hot(hashed, labels, "simhash", "rows").select(F.col("doc").alias(id_column), "simhash", "component_id")
+
+
+def proposed(signed: DataFrame) -> DataFrame:
+    """(u, v) of ``sig``: sets with equal or linked fingerprints, joined as all their links join them."""
+    heads = cut(signed.groupBy("simhash").agg(F.min("sig").alias("head")))
+    equal = signed.select("simhash", "sig").distinct().join(heads, "simhash").filter("sig <> head").select(F.col("head").alias("u"), F.col("sig").alias("v"))
+    at = lambda end: heads.select(F.col("simhash").alias(end), F.col("head").alias(f"{end}_head"))
+    near = links(heads.select("simhash"), "simhash").join(at("u"), "u").join(at("v"), "v")
+    return equal.union(near.select("u_head", "v_head")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def first_copies(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """The least ``keys`` of each class of texts that are alike by their sets of shingles."""
+    sign = lambda found: of_hashes(found) if found else 0
+    signed, classes = shingles.classes(df.select(F.struct(*keys).alias("key"), F.col(text).alias("text")), proposed, sign, SET_WORDS, HASH_SEED)
+    least = signed.groupBy("sig").agg(F.min("key").alias("first"))
+    first = least.join(classes, "sig", "left").groupBy(F.coalesce("root", "sig")).agg(F.min("first").alias("first"))
+    return first.select("first.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
