@@ -10,17 +10,19 @@ least length of a labelled value up and over the same characters, is scored,
 then without dots and equals signs around it, then its parts between them; the
 first that passes is added as an ``inferred`` span where it is at least as likely as
 the least likely of the labelled values but a few, and likelier than an
-ordinary token.
+ordinary token by more than chance makes of so few values.
 
 Every text is scanned whole and twice: to learn, and to find. The first scan
 leaves the labelled values and the counts of class pairs over every other token; they are checkpointed. The driver
-reads at most ``MAX_VALUES`` distinct values a kind, chosen by hash, and the
-summed counts.
+reads at most ``MAX_VALUES`` distinct values a kind of at most ``MAX_LENGTH``
+characters, chosen by hash, and the summed counts. A token is scored once for
+many texts, and a text without a token that passes is not looked at again.
 
 Defined results: null text is like empty text, without spans; spans are in
-code points, the end exclusive; repeated rows each carry their spans; without
-any base span in the corpus nothing is inferred; an empty table gives an empty
-result; other columns of any name pass through.
+code points, the end exclusive; repeated rows each carry their spans; a kind
+with few labelled values needs a clearer likelihood; without any base span in
+the corpus nothing is inferred; an empty table gives an empty result; other
+columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,10 @@ from pyspark.sql import types as T
 
 from .common import cut, slices, table
 
-#: Distinct labelled values a kind that learning reads at most; distinct tokens that a task holds, with their counts or scores.
-MAX_VALUES, HELD_TOKENS = 2000, 100_000
+#: Distinct labelled values a kind that learning reads at most, and their length; distinct tokens that a task holds, with their counts or scores.
+MAX_VALUES, MAX_LENGTH, HELD_TOKENS = 2000, 256, 300_000
+#: Labelled values below which each sets the threshold by what the others say.
+FEW = 8
 #: Significance of a merge; labelled values that may fall below the threshold.
 ALPHA, MISSED = 0.05, 0.005
 KINDS = ("assign", "access", "hex", "inferred")
@@ -52,6 +56,13 @@ _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 _PART = re.compile(r"[A-Za-z0-9+/_-]{6,}")
+# All bytes but those of a token are spaces.
+_SEPARATE = bytes(b if re.match(rb"[A-Za-z0-9+/_.=-]", bytes([b])) else 32 for b in range(256))
+
+
+def runs(text: str) -> list[bytes]:
+    """What ``_TOKEN`` finds in a text."""
+    return [w for w in text.encode().translate(_SEPARATE).split() if len(w) > 5]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -69,21 +80,24 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def forms_of(run: str, at: int = 0) -> list[tuple[int, int, str]]:
+    """A token's (start, end, value): whole, without signs around it, its parts."""
+    found = [(at, at + len(run), run)]
+    if "." in run or "=" in run:
+        bare = run.strip(".=")
+        if len(bare) >= 6 and bare != run:
+            start = at + len(run) - len(run.lstrip(".="))
+            found.append((start, start + len(bare), bare))
+        found += [(at + x.start(), at + x.end(), x[0]) for x in _PART.finditer(run) if x[0] != bare]
+    return found
+
+
 def other_tokens(text: str, spans: list[tuple[str, int, int, str]]) -> Iterator[list[tuple[int, int, str]]]:
-    """For every token its (start, end, value): whole, without signs around it, its parts; none overlaps a base span."""
+    """The forms of every token; none overlaps a base span."""
     taken = [(s[1], s[2]) for s in spans]
     for m in _TOKEN.finditer(text):
         run, at = m[0], m.start()
-        found = [(at, m.end(), run)]
-        if "." in run or "=" in run:
-            bare = run.strip(".=")
-            if len(bare) >= 6 and bare != run:
-                start = at + len(run) - len(run.lstrip(".="))
-                found.append((start, start + len(bare), bare))
-            found += [(at + x.start(), at + x.end(), x[0]) for x in _PART.finditer(run) if x[0] != bare]
-        elif not taken:
-            yield found
-            continue
+        found = forms_of(run, at)
         if any(a < m.end() and at < b for a, b in taken):
             # What a base span leaves of the token.
             left = "".join(" " if any(a <= i < b for a, b in taken) else c for i, c in enumerate(run, at))
@@ -112,13 +126,15 @@ def observe(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Counter = Counter()
-        pairs: Counter = Counter()
+        pairs = np.zeros(1 << 16, np.int64)
 
         def spend() -> None:
-            for t, n in tokens.items():
-                classes = "^" + shape(t)
-                for x in zip(classes, classes[1:], strict=False):
-                    pairs["".join(x)] += n
+            if tokens:
+                classes = np.frombuffer(b"^" + b"^".join(tokens).translate(_CLASSES), np.uint8).astype(np.uint16)
+                weight = np.repeat(np.fromiter(tokens.values(), np.int64, len(tokens)), [len(t) + 1 for t in tokens])[:-1]
+                inside = classes[1:] != ord("^")
+                found = (classes[:-1] << 8 | classes[1:])[inside]
+                pairs[:] += np.bincount(found, weight[inside], 1 << 16).astype(np.int64)
             tokens.clear()
 
         def rows(found: list[tuple[str, str, int]]) -> pa.RecordBatch:
@@ -129,20 +145,28 @@ def observe(df: DataFrame, text: str = "text") -> DataFrame:
             labelled: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 spans = base_spans(t) if t else []
-                labelled.update((s[0], s[3]) for s in spans)
-                tokens.update(forms[0][2] for forms in (other_tokens(t, spans) if t else ()))
+                labelled.update((s[0], s[3]) for s in spans if len(s[3]) <= MAX_LENGTH)
+                if spans:
+                    tokens.update(forms[0][2].encode() for forms in other_tokens(t, spans))
+                elif t:
+                    tokens.update(runs(t))
+                if len(tokens) > HELD_TOKENS:
+                    spend()
             yield rows([(*k, n) for k, n in labelled.items()])
-            if len(tokens) > HELD_TOKENS:
-                spend()
         spend()
-        yield rows([("pair", k, n) for k, n in pairs.items()])
+        yield rows([("pair", chr(k >> 8) + chr(k & 255), int(pairs[k])) for k in np.flatnonzero(pairs).tolist()])
 
     return df.select(text).mapInArrow(run, "kind string, value string, n long")
 
 
+# A character's class: digit, hexadecimal letter, other letter, or itself.
+_CLASSES = bytes(ord("9") if 48 <= b <= 57 else ord("H") if 65 <= b <= 70 else ord("A") if 71 <= b <= 90 else ord("h") if 97 <= b <= 102 else ord("a") if 103 <= b <= 122 else b for b in range(256))
+_CLASS_OF = {b: c for b, c in enumerate(_CLASSES) if b < 128}
+
+
 def shape(value: str) -> str:
-    """Every character's class: digit, hexadecimal letter, other letter, or itself."""
-    return re.sub("[A-F]", "H", re.sub("[G-Z]", "A", re.sub("[a-f]", "h", re.sub("[g-z]", "a", re.sub("[0-9]", "9", value)))))
+    """Every character's class."""
+    return value.translate(_CLASS_OF)
 
 
 _SIZE = {"9": 10, "h": 6, "a": 20, "H": 6, "A": 20}
@@ -156,6 +180,8 @@ class Automaton:
     moves: list[dict[str, tuple[int, float]]]
     lengths: dict[int, float]
     threshold: float = -math.inf
+    #: By how much a character a token must be likelier than an ordinary one.
+    margin: float = 0.0
     least: float = field(default=1e-4)
 
     def score(self, value: str) -> float:
@@ -278,22 +304,28 @@ class Formats:
         """The format that fits best, and by how much above its threshold; below 0: none."""
         best = ("", -1.0)
         for kind, a in self.automata.items():
-            over = a.score(value) - a.threshold
-            if over >= 0 and a.score(value) > self.plain.score(value) and over > best[1]:
+            mine = a.score(value)
+            over = mine - a.threshold
+            if over >= 0 and over > best[1] and mine - self.plain.score(value) > a.margin:
                 best = (kind, over)
         return best
 
 
 def learn(labelled: dict[str, list[str]], pairs: Iterable[tuple[str, int]]) -> Formats:
-    """One automaton a kind; half of the values set its threshold."""
+    """One automaton a kind; half of the values set its threshold, of few values each as the others see it."""
     automata = {}
     for kind, values in labelled.items():
-        values = [v for v in values if len(v) <= 256]
-        if len(values) < 8:
+        if not values:
             continue
-        a = infer(values[::2])
-        scores = sorted(a.score(v) for v in values[1::2])
-        a.threshold = scores[int(MISSED * len(scores))]
+        if len(values) < FEW:
+            a = infer(values)
+            others = [infer(values[:i] + values[i + 1 :]).score(v) for i, v in enumerate(values)] if len(values) > 1 else []
+            scores = sorted([*others, *map(a.score, values)])
+        else:
+            a = infer(values[::2])
+            scores = sorted(a.score(v) for v in values[1::2])
+        a.threshold = next((x for x in scores[int(MISSED * len(scores)) :] if x > -math.inf), math.inf)
+        a.margin = math.sqrt(math.log(2 / ALPHA) / (2 * len(values)))
         automata[kind] = a
     return Formats(automata, ordinary(pairs))
 
@@ -311,9 +343,42 @@ def learn_from(df: DataFrame, text: str = "text", max_values: int = MAX_VALUES)
     return learn({k: v for k, v in labelled.items() if v}, [(r["value"], r["n"]) for r in pairs])
 
 
-def _passes(formats: Formats):
-    """Whether a token passes, with the answers for the latest tokens kept."""
-    return lru_cache(HELD_TOKENS)(lambda value: formats.score(value)[1] >= 0)
+class Judge:
+    """Finds the spans of texts, with the verdicts on the latest tokens kept."""
+
+    def __init__(self, formats: Formats):
+        self.formats = formats
+        self.known: dict[str, bool] = {}
+        self.seen: set[bytes] = set()
+        self.hot: set[bytes] = set()
+
+    def passes(self, value: str) -> bool:
+        if (found := self.known.get(value)) is None:
+            if len(self.known) > HELD_TOKENS:
+                self.known.clear()
+            found = self.known[value] = self.formats.score(value)[1] >= 0
+        return found
+
+    def spans(self, text: str | None) -> tuple[list[tuple[str, int, int, str]], list[tuple[str, int, int, str]]]:
+        """The base spans of a text, and those inferred."""
+        if not text:
+            return [], []
+        base = base_spans(text)
+        if not base:
+            tokens = set(runs(text))
+            for w in tokens - self.seen:
+                if any(self.formats.score(v)[1] >= 0 for _, _, v in forms_of(w.decode())):
+                    self.hot.add(w)
+            if len(self.seen) > HELD_TOKENS:
+                self.seen.clear()
+            self.seen |= tokens
+            if self.hot.isdisjoint(tokens):
+                return [], []
+        more = [("inferred", *x) for x in inferred(text, base, self.passes)]
+        if len(self.hot) > HELD_TOKENS:  # both go, so that a token is hot whenever it is seen
+            self.hot.clear()
+            self.seen.clear()
+        return base, more
 
 
 def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -325,14 +390,13 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = _passes(formats)
+        judge = Judge(formats)
         as_rows = lambda spans: [dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in spans]
         for batch in slices(batches):
             names = batch.schema.names
             base, spans = [], []
             for t in batch.column(names.index(text)).to_pylist():
-                known = base_spans(t) if t else []
-                more = [("inferred", *x) for x in (inferred(t, known, passes) if t else [])]
+                known, more = judge.spans(t)
                 base.append(as_rows(known))
                 spans.append(as_rows(sorted(known + more, key=lambda s: (s[1], KINDS.index(s[0])))))
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(base, span), pa.array(spans, span)], names=[*kept, "base", "spans"])
@@ -344,9 +408,9 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFra
     """``df`` with every found span of ``text`` replaced by ``mask``; null stays null."""
     formats = learn_from(df, text)
 
-    def clean(value: str, passes) -> str:
-        base = base_spans(value)
-        spans = [(s[1], s[2]) for s in base] + [(a, b) for a, b, _ in inferred(value, base, passes)]
+    def clean(value: str, judge: Judge) -> str:
+        base, more = judge.spans(value)
+        spans = [(s[1], s[2]) for s in base + more]
         out, at = [], 0
         for a, b in sorted(spans):
             if b > at:
@@ -356,10 +420,10 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFra
         return "".join([*out, value[at:]]) if spans else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = _passes(formats)
+        judge = Judge(formats)
         for batch in slices(batches):
             i = batch.schema.names.index(text)
-            cleaned = pa.array([None if t is None else clean(t, passes) for t in batch.column(i).to_pylist()], pa.string())
+            cleaned = pa.array([None if t is None else clean(t, judge) for t in batch.column(i).to_pylist()], pa.string())
             yield batch.set_column(i, pa.field(text, pa.string()), cleaned)
 
     return df.mapInArrow(run, df.schema)

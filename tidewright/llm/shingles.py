@@ -9,11 +9,12 @@ shingle among the first ``size - ceil(0.8 size) + 1`` of each. Any common order
 is right; common shingles come last, so that lists stay short. Which ones are
 common is estimated from a bounded sample, and only speed depends on it.
 
-Only distinct sets are searched. First the proposed pairs and, in every list,
-the pairs of its least member are compared; then all pairs of a list whose
-ends are not connected yet. So a large group of near copies costs its
-members, not its pairs. Lists longer than ``LIST_ROWS`` are dealt into chunk
-pairs. Every pair that passes the filters is verified on the whole sets.
+Only distinct sets are searched. First the proposed pairs are compared and,
+for every set, that with the list head (a list's least member) whom it meets
+in most lists; then all pairs of a list whose ends are not connected yet. So a
+large group of near copies costs its members, not its pairs. Lists longer than
+``LIST_ROWS`` are dealt into chunk pairs. Every pair that passes the filters
+is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -135,17 +136,15 @@ def _may_alike(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
     return (b * F.least(n_a, n_b) >= a * F.greatest(n_a, n_b)) & ((a + b) * most >= a * (n_a + n_b))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, n_words: int, seed: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, n_words: int, seed: int) -> DataFrame:
     """The pairs (u, v) whose whole sets are alike, materialised.
 
-    The sets are made again from one text of each signature: ``firsts`` has its hash.
+    The sets are made again from the row that ``distinct`` names for each signature.
     """
     ends = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct()
-    wanted = cut(firsts.join(ends, "sig").select("sig", "same"))
-    chosen = texts.withColumn("same", F.xxhash64("text")).join(small(wanted.select("same").distinct()), "same", "left_semi")
-    # Of equal texts one is enough; a signature that several texts have is made once.
-    sets = _sets(chosen.groupBy("same").agg(F.first("text").alias("text")), n_words, seed)
-    sets = sets.join(small(wanted.select("sig")), "sig", "left_semi").dropDuplicates(["sig"])
+    wanted = cut(distinct.join(ends, "sig").select("key"))
+    # Rows that repeat a key and a text have the same set.
+    sets = _sets(texts.join(small(wanted), "key", "left_semi"), n_words, seed).dropDuplicates(["sig"])
     x = sets.select(F.col("sig").alias("u"), F.col("shingles").alias("x"))
     y = sets.select(F.col("sig").alias("v"), F.col("shingles").alias("y"))
     a, b = ALIKE
@@ -172,22 +171,24 @@ def _pairs(lists: DataFrame, list_rows: int) -> DataFrame:
 
 
 def classes(texts: DataFrame, proposed: Callable[[DataFrame], DataFrame], sign: Callable[[bytes], int], n_words: int, seed: int, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Every row of ``texts`` (text and keys) with its signature, and (sig, root) of all signatures that are alike with another.
+    """(sig, key) with the least key of every set of ``texts`` (key, text), and (sig, root) of all sets that are alike with another.
 
-    ``proposed`` gives, from (sig, simhash), pairs (u, v) to compare first.
+    Rows with one key have one text. ``proposed`` gives, from (sig, simhash),
+    pairs (u, v) to compare first.
     """
-    texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
-    signed = cut(_signed(texts.withColumn("same", F.xxhash64("text")), _common(texts, n_words, seed), sign, n_words, seed))
-    distinct = cut(signed.groupBy("sig").agg(F.first("simhash").alias("simhash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("same").alias("same")))
-    firsts = distinct.select("sig", "same")
+    signed = _signed(texts, _common(texts, n_words, seed), sign, n_words, seed)
+    distinct = cut(signed.groupBy("sig").agg(F.first("simhash").alias("simhash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("key").alias("key")))
     lists = _lists(distinct)
     head = lists.groupBy("shingle").agg(F.min(F.struct("sig", "n", "at")).alias("head"))
     star = lists.join(head, "shingle").filter((F.col("sig") != F.col("head.sig")) & _may_alike(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
-    first = cut(star.select(F.col("head.sig").alias("u"), F.col("sig").alias("v")).union(proposed(distinct)).distinct())
-    near = _verified(first, texts, firsts, n_words, seed)
+    met = star.groupBy("sig", F.col("head.sig").alias("u")).agg(F.count(F.lit(1)).alias("lists"))
+    best = met.groupBy("sig").agg(F.max_by("u", F.struct("lists", "u")).alias("u"))
+    first = cut(best.select(F.least("u", "sig").alias("u"), F.greatest("u", "sig").alias("v")).union(proposed(distinct)).distinct())
+    near = _verified(first, texts, distinct, n_words, seed)
     roots = cut(components(near, "u", "v")).select(F.col("node").alias("sig"), "root")
-    # Lists of two have nothing left.
-    rest = lists.filter("members > 2").join(small(roots), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    more = _verified(cut(_pairs(rest, list_rows)), texts, firsts, n_words, seed)
-    found = components(near.union(more), "u", "v") if not more.isEmpty() else roots.withColumnRenamed("sig", "node")
-    return signed, found.select(F.col("node").alias("sig"), "root")
+    rest = lists.join(small(roots), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    pairs = cut(_pairs(rest, list_rows).join(first, ["u", "v"], "left_anti"))
+    if not pairs.isEmpty():
+        more = _verified(pairs, texts, distinct, n_words, seed)
+        roots = components(near.union(more), "u", "v").withColumnRenamed("node", "sig")
+    return distinct.select("sig", "key"), roots

@@ -237,18 +237,20 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 def proposed(signed: DataFrame) -> DataFrame:
     """(u, v) of ``sig``: sets with equal or linked fingerprints, joined as all their links join them."""
     heads = cut(signed.groupBy("simhash").agg(F.min("sig").alias("head")))
-    equal = signed.select("simhash", "sig").distinct().join(heads, "simhash").filter("sig <> head").select(F.col("head").alias("u"), F.col("sig").alias("v"))
+    equal = signed.select("simhash", "sig").join(heads, "simhash").filter("sig <> head").select(F.col("head").alias("u"), F.col("sig").alias("v"))
     at = lambda end: heads.select(F.col("simhash").alias(end), F.col("head").alias(f"{end}_head"))
     near = links(heads.select("simhash"), "simhash").join(at("u"), "u").join(at("v"), "v")
     return equal.union(near.select("u_head", "v_head")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def first_copies(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """The least ``keys`` of each class of texts that are alike by their sets of shingles."""
+    """The least ``keys`` of each class of texts that are alike by their sets of shingles.
+
+    Rows with equal keys have equal texts.
+    """
     sign = lambda found: of_hashes(found) if found else 0
-    signed, classes = shingles.classes(df.select(F.struct(*keys).alias("key"), F.col(text).alias("text")), proposed, sign, SET_WORDS, HASH_SEED)
-    least = signed.groupBy("sig").agg(F.min("key").alias("first"))
-    first = least.join(classes, "sig", "left").groupBy(F.coalesce("root", "sig")).agg(F.min("first").alias("first"))
+    distinct, classes = shingles.classes(df.select(F.struct(*keys).alias("key"), F.col(text).alias("text")), proposed, sign, SET_WORDS, HASH_SEED)
+    first = distinct.join(classes, "sig", "left").groupBy(F.coalesce("root", "sig")).agg(F.min("key").alias("first"))
     return first.select("first.*")
 
 
