@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -301,6 +302,92 @@ def test_main_text(spark):
         assert got[i] == want, PAGES[i]
 
 
+SECTIONS = '<article><p>one</p><section id="privacy"><p>own words</p></section><section class="search-algorithms"><p>more</p></section><div class="share-bar">share</div><section id="comments"><p>c</p></section></article>'
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (SECTIONS, "one\nown words\nmore"),
+        ("<article><p><a title=don't>link</a> rest</p></article>", "link rest"),
+        ('<div class="post"><h1>T</h1><p>Lead.</p><div class="body"><p>' + "word " * 200 + "</p></div></div>", "T\nLead.\n" + ("word " * 200).strip()),
+        ("<main><h1>T</h1><article><p>" + "w " * 100 + "</p></article></main>", "T\n" + ("w " * 100).strip()),
+        ("<p>a<svg/>b <video>x</video>c<p title='x>d", "ab c\nd"),
+        ("<div><title>never closed <p>x</div><p>y", "y"),
+    ],
+)
+def test_article_parts_stay(page, want):
+    assert html.extract(page, None) == want
+
+
+def test_one_part_of_a_two_part_article_is_not_enough(spark):
+    page = lambda two: '<div class="page"><div class="content"><p>' + "first " * 50 + "</p></div>" + ('<div class="content-2"><p>' + "second " * 50 + "</p></div>" if two else "") + "</div>"
+    df = spark.createDataFrame([(i, "http://h.org/", page(i == 9)) for i in range(10)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_text(df).collect()}
+    assert got[9] == ("first " * 50).strip() + "\n" + ("second " * 50).strip() and got[0] == ("first " * 50).strip()
+
+
+@pytest.mark.parametrize(
+    "page", ["<div>" * 20_000 + "deep" + "</div>" * 20_000, '<a "' * 250_000, "<p>x</b></i></p>" * 30_000, "<span>" * 20_000 + "</p>x" * 20_000, "<script>" * 100_000, "<!--" * 200_000, "<title>" * 100_000 + "x", "<ul><li>" * 20_000 + "y"]
+)
+def test_bad_pages_take_linear_time(page):
+    began = time.process_time()
+    html.extract(page, "div.x")
+    assert time.process_time() - began < 3
+
+
+def plain_blocks(source):
+    """The blocks outside dropped elements, by the library's own parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.off = [], "", 0
+
+        def flush(self):
+            if block := " ".join(self.now.split()):
+                self.out.append(block)
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "i", "a", "span"):
+                self.flush()
+            self.off += tag in ("nav", "script", "footer", "aside")
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a", "span"):
+                self.flush()
+            self.off -= tag in ("nav", "script", "footer", "aside")
+
+        def handle_data(self, data):
+            self.now += data if not self.off else ""
+
+    p = Plain()
+    p.feed(source)
+    p.close()
+    p.flush()
+    return "\n".join(p.out)
+
+
+def test_generated_pages_equal_the_library_parser():
+    draw = random.Random(5)
+    word = lambda: draw.choice(["a", "b &amp; c", "1 &lt; 2", "x>y", "é", "long  \n gap", "&#65;", "''", '"q"'])
+
+    def grow(depth):
+        tag = draw.choice(["div", "p", "section", "ul", "nav", "script", "aside", "h2", "b", "i", "a"] if depth else ["p", "b"])
+        if tag == "script":
+            return "<script>var x = '<p>no</p>';</script>"
+        attributes = draw.choice(["", ' class="x y"', " title=don't", " data-a='1 > 0'", ' href="/?a=1&b=2" checked'])
+        if tag in ("p", "h2", "b", "i", "a"):
+            return f"<{tag}{attributes}>" + " ".join(word() for _ in range(draw.randrange(4))) + f"</{tag}>"
+        return f"<{tag}{attributes}>" + "".join(grow(depth - 1) for _ in range(draw.randrange(4))) + f"</{tag}>"
+
+    for _ in range(300):
+        page = "<article>" + "".join(grow(3) for _ in range(4)) + "</article>"
+        assert html.extract(page, None) == plain_blocks(page), page
+
+
 def test_hosts_agree_on_a_path(spark):
     full = lambda i, n: f'<body><div class="top-{i}"><p>teaser line that is on every page</p></div><div class="post n{i}"><p>{"word " * n}</p><p>{"more " * n}</p></div></body>'
     rows = [(i, "http://h.org/" + str(i), full(i, 40)) for i in range(9)] + [(9, "http://H.org/x", full(9, 3)), (10, None, "<p>free"), (11, "http://h.org/y", "<p>no such path</p>")]

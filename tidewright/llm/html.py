@@ -2,29 +2,38 @@
 
 A page is parsed into blocks of text under a tree of elements. Elements that
 are no part of an article by tag, role or class (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) are left out. The
-page's container is scored by the share of the remaining text below it: from
-the root the search goes down while one container holds most of the text, and
-an article element wins if it holds a fair part. The container's path, tags
-and classes with numbers generalised, is the page's vote. Spark counts the
-votes of each host, and every page is extracted again along its host's winning
-path; a page without that path, or with little text there, falls back on its
-own container.
+sidebars, notices, adverts, forms, scripts, styles, comments) are left out;
+within an article only where a whole class says so. The page's container is
+scored by the share of the remaining text below it: from the root the search
+goes down while one container holds most of the text and nothing beside it but
+containers, and an article element wins if it holds a fair part; it is widened
+to the heading that belongs to it. The container's path, tags and classes with
+numbers generalised, is the page's vote. Spark counts the votes of each host,
+and every page is extracted again along its host's winning path; a page without
+that path keeps its own container, and so does one that would lose a good part
+of its own container by it.
+
+A page is scanned once from left to right; tags, ends and ancestors are found
+without going back or up, so time and memory grow with a page's length however
+deep it is nested or badly it is written.
 
 Votes are pre-aggregated, so a host with a third of all pages is a few rows.
 The winners (one row a host) are broadcast if they are counted to be few;
 else the join is a shuffle whose skewed hosts Spark splits.
 
 Defined results: null and empty html give the empty text; cut-off pages keep
-their last block; an unfinished tag or comment at the end is dropped; a null
-url has the empty host, whose pages vote together; repeated rows give equal
-rows; an empty table gives an empty result. A line break element is white
-space; character references are decoded once.
+their last block; an unfinished tag or comment at the end is dropped, as are a
+script and a style without an end; a quote that is never closed is no quote; a
+null url has the empty host, whose pages vote together; of paths with equally
+many votes the one with more text, then the greater, wins; repeated rows give
+equal rows; an empty table gives an empty result. A line break element is
+white space; character references are decoded once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -38,16 +47,17 @@ from .common import cut, slices, small, table
 
 #: Share of a container's text that its part must hold for the search to go on into it.
 DOMINANT = 0.8
-#: Share of a page's text that an article element, and the host's path, must hold to be taken.
+#: Share of a page's text that an article element must hold to be taken, and the host's path where the page has no container.
 FAIR = 0.25
 
 # HTML's vocabulary, and the names that mark what is no part of an article.
 _ARTICLE = frozenset("article content entry post story".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_EMBEDDED = frozenset("audio canvas math object select svg video".split())
 _CONTAINERS = frozenset("article blockquote center div dd dl main section span table tbody td tr".split())
 _DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe input map math menu nav noscript object option script select style svg template textarea title video".split())
-_RAW = "script|style|noscript|template|textarea|select|svg|iframe|title|math|object|video|audio|canvas"
+_RAW = frozenset("script style noscript textarea iframe title noembed noframes xmp".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
 _NAMES = frozenset(
     (
@@ -59,168 +69,313 @@ _NAMES = frozenset(
         "subscribe subscription taboola teaser teasers toolbar topbar tracking widget widgets"
     ).split()
 )
+#: Words beside those names in a class that still names no more than such a part.
+_NEUTRAL = frozenset("area bar block blocks box button buttons container customer guest reader readers user users visitor content count form group inner item items label left link links list message messages outer panel post posts right row section signup slot small text title top bottom unit widget wrap wrapper us js".split())
+#: Names that an article's own sections may have as well.
+_OWN = frozenset("alert announcement consent copyright disclaimer discussion header hidden notice notices pager privacy promotion rail reaction reactions respond responses search skip tracking".split())
 #: A class that only says what a container has beside it or is without.
 _BESIDE = re.compile(r"^(?:has|with|no|without|is|js|wp|single|page|layout|template)[-_]", re.I)
 _CLOSES_P = frozenset("address article aside blockquote center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
-_CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_LISTS = ("ul", "ol", "dl", "table", "select")
 _SCOPE = frozenset("table td th ul ol dl body html article section main div aside nav header footer form".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z/!?][^<>]*\Z",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+# A tag as most are written; none goes on past the next angle bracket.
+_PLAIN = re.compile(r"""((?:\s++[^\s"'<>=/]++(?:="[^"<>]*+"|='[^'<>]*+'|=[^\s"'<>=`/]++)?+)*+\s*+/?+)>""")
+_NEXT = re.compile(r"[>=]")
+_BARE = re.compile(r"[^\s>]*+")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _NUMBER = re.compile(r"\d+")
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
+class Scanner:
+    """A page's tags from left to right: (text before, end tag?, name, attributes).
+
+    Comments, declarations and raw elements with their text are passed over.
+    What isn't found once isn't looked for again further on.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        if (found := self.html.find(what, at)) < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that goes on at ``at`` has its closing bracket; -1 if nowhere."""
+        html = self.html
+        while (m := _NEXT.search(html, at)) is not None:
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            while at < len(html) and html[at].isspace():
+                at += 1
+            if html[at : at + 1] in ('"', "'") and (close := self.find(html[at], at + 1)) >= 0:
+                at = close + 1
+            else:
+                at = _BARE.match(html, at).end()
+        return -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of a raw element; -1 if it has none."""
+        if tag in self.missing:
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(self.html, at)
+        if m is None:
+            self.missing.add(tag)
+            return -1
+        return m.end()
+
+    def tags(self) -> Iterator[tuple[str, bool, str, str]]:
+        html, at, begin = self.html, 0, 0
+        while (at := html.find("<", at)) >= 0:
+            c = html[at + 1 : at + 2]
+            end = c == "/"
+            if c in ("!", "?"):
+                if html.startswith("<!--", at):
+                    empty = html.startswith((">", "->"), at + 4)
+                    stop = self.find(">", at + 4) if empty else self.find("-->", at + 4)
+                    after = stop + (1 if empty else 3)
+                else:
+                    stop = self.find(">", at + 1)
+                    after = stop + 1
+                yield html[begin:at], False, "", ""
+                if stop < 0:
+                    return
+                begin = at = after
+                continue
+            m = _NAME.match(html, at + 1 + end)
+            if m is None:
+                if end:  # an end tag without a name is a comment; at the end of the page it is unfinished
+                    yield html[begin:at], False, "", ""
+                    if (stop := self.find(">", at)) < 0:
+                        return
+                    begin = at = stop + 1
+                elif at + 1 == len(html):
+                    yield html[begin:at], False, "", ""
+                    return
+                else:
+                    at += 1
+                continue
+            plain = _PLAIN.match(html, m.end())
+            stop = plain.end() - 1 if plain else self.tag_end(m.end())
+            if stop < 0:
+                yield html[begin:at], False, "", ""
+                return
+            tag, attributes = m[0].lower(), html[m.end() : stop]
+            before, begin = html[begin:at], stop + 1
+            at = begin
+            if tag in _RAW and not end:
+                after = self.raw_end(tag, begin)
+                if after < 0 and tag in ("script", "style"):
+                    yield before, False, "", ""
+                    return
+                if after >= 0:
+                    yield before, False, "", ""
+                    begin = at = after
+                    continue
+            yield before, end, tag, attributes
+        yield html[begin:], False, "", ""
+
+
 @dataclass
 class Node:
     tag: str
     parent: int
-    path: str
+    name: str
     dropped: bool
+    #: Whether it is in an article or main element; the nearest element that is no inline one, itself included.
+    inside: bool = False
+    block: int = 0
     chars: int = 0
-    parts: list[int] = field(default_factory=list)
 
 
 @dataclass
 class Page:
     nodes: list[Node]
     blocks: list[tuple[str, int]]
-
-
-def _foreign(tag: str, attributes: str) -> tuple[bool, str]:
+    #: The blocks that are main headings.
+    headings: list[int] = field(default_factory=list)
+
+    def path(self, at: int) -> str:
+        names = []
+        while at > 0:
+            names.append(self.nodes[at].name)
+            at = self.nodes[at].parent
+        return "/".join(reversed(names))
+
+    def under(self, path: str) -> list[bool]:
+        """For every node whether it, or one above it, has this path."""
+        names = path.split("/") if path else []
+        # How many names of the path lead to a node, if all above it fit; -1 if not.
+        fits, inside = [0], [not names]
+        for n in self.nodes[1:]:
+            above = fits[n.parent]
+            mine = above + 1 if 0 <= above < len(names) and names[above] == n.name else -1
+            fits.append(mine)
+            inside.append(inside[n.parent] or mine == len(names))
+        return inside
+
+
+def _named(words: list[str]) -> bool:
+    """Whether a class says nothing but that its element is no part of an article."""
+    return any(p in _NAMES and p not in _OWN for p in words) and all(p in _NAMES or p in _NEUTRAL for p in words)
+
+
+def _foreign(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
     """Whether an element is no part of an article, and its name in a path."""
     if not attributes.strip(" /\t\n"):
         return tag in _DROPPED, tag
-    found = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
-    classes = [*found.get("class", "").split(), *found.get("id", "").split()]
-    name = ".".join([tag, *dict.fromkeys(_NUMBER.sub("#", c) for c in classes)])
+    found = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    classes, ids = found.get("class", "").split(), found.get("id", "").split()
+    name = ".".join([tag, *dict.fromkeys(_NUMBER.sub("#", c.replace("/", "|")) for c in (*classes, *ids))])
     if tag in _DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in _ROLES:
         return True, name
     if "display:none" in found.get("style", "").replace(" ", "").lower():
         return True, name
     if tag in ("html", "body", "article", "main"):
         return False, name
-    words = [[p.lower() for p in _PARTS.split(c)] for c in classes if not _BESIDE.match(c)]
+    words = [[p.lower() for p in _PARTS.split(c) if p] for c in (*classes, *ids) if not _BESIDE.match(c)]
+    if inside:
+        return any(map(_named, words)), name
     return any(p in _NAMES for w in words for p in w if p != "header" or _ARTICLE.isdisjoint(w)), name
 
 
 def parse(html: str) -> Page:
     """The blocks of a page and the elements they are in."""
-    nodes, blocks, stack = [Node("", -1, "", False)], [], [0]
+    page = Page([Node("", -1, "", False)], [])
+    nodes, blocks, stack = page.nodes, page.blocks, [0]
     text: list[str] = []
+    # Where each open tag, and each open element that closes nothing beyond it, stands in the stack.
+    where: dict[str, list[int]] = defaultdict(list)
+    scopes: list[int] = []
 
     def flush() -> None:
         if text:
             block = " ".join(unescape("".join(text)).split())
             text.clear()
             if block:
-                at = stack[-1]
-                while nodes[at].tag in _INLINE:
-                    at = nodes[at].parent
+                at = nodes[stack[-1]].block
+                if nodes[at].tag == "h1":
+                    page.headings.append(len(blocks))
                 blocks.append((block, at))
 
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at and not nodes[stack[-1]].dropped:
-            text.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    def close(i: int) -> None:
+        """Close all elements from place ``i`` of the stack on."""
+        while len(stack) > i:
+            tag = nodes[stack.pop()].tag
+            where[tag].pop()
+            if tag in _SCOPE:
+                scopes.pop()
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((where[t][-1] for t in tags if where[t]), default=0)
+
+    for before, end, tag, attributes in Scanner(html).tags():
+        if before and not nodes[stack[-1]].dropped:
+            text.append(before)
         if not tag:
             continue
         if tag == "br":
             text.append(" ")
             continue
-        inline = tag in _INLINE
-        if m[2]:  # an end tag closes down to its element, if that is open within the nearest scope
-            for i in range(len(stack) - 1, 0, -1):
-                open_ = nodes[stack[i]].tag
-                if open_ == tag:
-                    if not inline or any(nodes[s].tag not in _INLINE for s in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
-                if open_ in _SCOPE and (inline or tag in ("p", "li")):
-                    break
+        inline, quiet = tag in _INLINE, tag in _INLINE or tag in _EMBEDDED
+        scope = scopes[-1] if scopes else 0
+        if end:  # an end tag closes down to its element, if that is open within the nearest scope
+            if (i := last((tag,))) and not ((inline or tag in ("p", "li")) and scope > i):
+                if not quiet or any(nodes[s].tag not in _INLINE and not nodes[s].dropped for s in stack[i:]):
+                    flush()
+                close(i)
             continue
         if tag in ("html", "body"):
             flush()
             continue
-        if not inline:
+        if not quiet:
             flush()
-            if tag in _CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag == "p":
-                        del stack[i:]
-                        break
-                    if nodes[stack[i]].tag in _SCOPE:
-                        break
-            if same := _CLOSES_SELF.get(tag):
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag in same:
-                        del stack[i:]
-                        break
-                    if nodes[stack[i]].tag in ("ul", "ol", "dl", "table", "select"):
-                        break
-        if tag in _VOID or m[4].endswith("/") and inline:
+            if tag in _CLOSES_P and (i := last(("p",))) > scope:
+                close(i)
+            if (same := _CLOSES_SELF.get(tag)) and (i := last(same)) > last(_LISTS):
+                close(i)
+        if tag in _VOID or attributes.endswith("/") and quiet:
             continue
-        foreign, name = _foreign(tag, m[4])
         up = nodes[stack[-1]]
+        foreign, name = _foreign(tag, attributes, up.inside)
         if foreign and not up.dropped:
             # A heading's wrapper inside an article belongs to the article.
-            if tag == "header" and any(nodes[s].tag in ("article", "main") for s in stack):
+            if tag == "header" and up.inside:
                 foreign = False
-            else:
+            elif not quiet:
                 flush()
-        nodes.append(Node(tag, stack[-1], name if not up.path else f"{up.path}/{name}", foreign or up.dropped))
-        stack.append(len(nodes) - 1)
-    if at < len(html) and not nodes[stack[-1]].dropped:
-        text.append(html[at:])
+        at = len(nodes)
+        nodes.append(Node(tag, stack[-1], name, foreign or up.dropped, up.inside or tag in ("article", "main"), up.block if quiet else at))
+        where[tag].append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        stack.append(at)
     flush()
-    return Page(nodes, blocks)
+    return page
 
 
 def container(page: Page) -> int:
     """The node that holds the page's article, by its share of the text."""
     nodes = page.nodes
     for block, at in page.blocks:
-        while at >= 0:
-            nodes[at].chars += len(block)
-            at = nodes[at].parent
+        nodes[at].chars += len(block)
+    for n in reversed(nodes[1:]):
+        nodes[n.parent].chars += n.chars
+    # The nearest container of every node, itself included; what each holds in no smaller one.
+    holder, parts, own = [0], defaultdict(list), defaultdict(int)
     for i, n in enumerate(nodes[1:], 1):
+        up = holder[n.parent]
+        holder.append(i if n.tag in _CONTAINERS else up)
         if n.chars and n.tag in _CONTAINERS:
-            up = n.parent
-            while nodes[up].tag not in _CONTAINERS and up > 0:
-                up = nodes[up].parent
-            nodes[up].parts.append(i)
-    total = nodes[0].chars
+            parts[up].append(i)
+    for block, at in page.blocks:
+        own[holder[at]] += len(block)
+    largest = lambda some: max(some, key=lambda i: (nodes[i].chars, -i))
+    total, best = nodes[0].chars, 0
     for tag in ("article", "main"):
-        own = [i for i, n in enumerate(nodes) if n.tag == tag and n.chars]
-        if own and nodes[best := max(own, key=lambda i: (nodes[i].chars, -i))].chars >= FAIR * total:
-            return best
-    at = 0
-    while nodes[at].parts and nodes[best := max(nodes[at].parts, key=lambda i: (nodes[i].chars, -i))].chars >= DOMINANT * nodes[at].chars:
-        at = best
-    return at
+        found = [i for i, n in enumerate(nodes) if n.tag == tag and n.chars]
+        if found and nodes[i := largest(found)].chars >= FAIR * total:
+            best = i
+            break
+    else:
+        # Down to the part that holds most, as long as what is left behind is other containers only.
+        while parts[best] and nodes[i := largest(parts[best])].chars >= DOMINANT * nodes[best].chars and (not best or not own[best]):
+            best = i
+    return widened(page, best, holder)
+
+
+def widened(page: Page, best: int, holder: list[int]) -> int:
+    """The container, or one around it that has the page's main heading and little else."""
+    nodes = page.nodes
+    if not best or len(page.headings) != 1:
+        return best
+    above = {best}
+    at = best
+    while at > 0:
+        at = nodes[at].parent
+        above.add(at)
+    at = holder[page.blocks[page.headings[0]][1]]
+    while at not in above:
+        at = nodes[at].parent
+    at = holder[at]
+    return at if at > 0 and nodes[best].chars >= DOMINANT * nodes[at].chars else best
 
 
 def along(page: Page, path: str) -> str:
     """The blocks of all nodes with this path, in page order."""
-    under: dict[int, bool] = {}
-
-    def inside(at: int) -> bool:
-        if at not in under:
-            n = page.nodes[at]
-            under[at] = n.path == path or (n.parent >= 0 and inside(n.parent))
-        return under[at]
-
-    return "\n".join(block for block, at in page.blocks if inside(at))
+    inside = page.under(path)
+    return "\n".join(block for block, at in page.blocks if inside[at])
 
 
 def extract(html: str, path: str | None) -> str:
@@ -228,11 +383,13 @@ def extract(html: str, path: str | None) -> str:
     page = parse(html)
     if not page.blocks:
         return ""
-    own = page.nodes[container(page)].path
+    best = container(page)
+    own = page.path(best)
     chosen = along(page, own)
     if path is not None and path != own:
         agreed = along(page, path)
-        if len(agreed) >= FAIR * len(chosen) and agreed:
+        # Without a container of its own the page follows its host; else only if it loses little.
+        if agreed and len(agreed) >= (DOMINANT if best else FAIR) * len(chosen):
             return agreed
     return chosen
 
@@ -254,10 +411,10 @@ def vote(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = parse(source or "")
                 if page.blocks:
-                    best = page.nodes[container(page)]
+                    best = container(page)
                     hosts.append(host)
-                    paths.append(best.path)
-                    chars.append(best.chars)
+                    paths.append(page.path(best))
+                    chars.append(page.nodes[best].chars)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(chars, pa.int64())], names=["host", "path", "chars"])
 
     votes = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, path string, chars long")

@@ -10,8 +10,8 @@ is right; common shingles come last, so that lists stay short. Which ones are
 common is estimated from a bounded sample, and only speed depends on it.
 
 Only distinct sets are searched. First the proposed pairs are compared and,
-for every set, that with the list head (a list's least member) whom it meets
-in most lists; then all pairs of a list whose ends are not connected yet. So a
+for every set, that with the list head (the member that is in most lists) whom
+it meets in most lists; then all pairs of a list whose ends are not connected yet. So a
 large group of near copies costs its members, not its pairs. Lists longer than
 ``LIST_ROWS`` are dealt into chunk pairs. Every pair that passes the filters
 is verified on the whole sets.
@@ -153,10 +153,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, distinct: DataFrame, n_words:
 
 
 def _lists(distinct: DataFrame) -> DataFrame:
-    """(shingle, sig, n, at, members): the postings of lists of two sets at least."""
+    """(sig, shingle, n, at, members, lists): the postings of lists of two sets at least."""
     postings = distinct.select("sig", "n", F.posexplode("prefix").alias("at", "shingle"))
     long = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return cut(postings.join(long, "shingle"))
+    found = cut(postings.join(long, "shingle"))
+    return cut(found.join(found.groupBy("sig").agg(F.count(F.lit(1)).alias("lists")), "sig"))
 
 
 def _pairs(lists: DataFrame, list_rows: int) -> DataFrame:
@@ -179,10 +180,10 @@ def classes(texts: DataFrame, proposed: Callable[[DataFrame], DataFrame], sign:
     signed = _signed(texts, _common(texts, n_words, seed), sign, n_words, seed)
     distinct = cut(signed.groupBy("sig").agg(F.first("simhash").alias("simhash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("key").alias("key")))
     lists = _lists(distinct)
-    head = lists.groupBy("shingle").agg(F.min(F.struct("sig", "n", "at")).alias("head"))
+    head = lists.groupBy("shingle").agg(F.max(F.struct("lists", "sig", "n", "at")).alias("head"))
     star = lists.join(head, "shingle").filter((F.col("sig") != F.col("head.sig")) & _may_alike(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
-    met = star.groupBy("sig", F.col("head.sig").alias("u")).agg(F.count(F.lit(1)).alias("lists"))
-    best = met.groupBy("sig").agg(F.max_by("u", F.struct("lists", "u")).alias("u"))
+    met = star.groupBy("sig", F.col("head.sig").alias("u")).agg(F.count(F.lit(1)).alias("met"))
+    best = met.groupBy("sig").agg(F.max_by("u", F.struct("met", "u")).alias("u"))
     first = cut(best.select(F.least("u", "sig").alias("u"), F.greatest("u", "sig").alias("v")).union(proposed(distinct)).distinct())
     near = _verified(first, texts, distinct, n_words, seed)
     roots = cut(components(near, "u", "v")).select(F.col("node").alias("sig"), "root")
