@@ -191,5 +191,5 @@ def classes(texts: DataFrame, proposed: Callable[[DataFrame], DataFrame], sign:
     pairs = cut(_pairs(rest, list_rows).join(first, ["u", "v"], "left_anti"))
     if not pairs.isEmpty():
         more = _verified(pairs, texts, distinct, n_words, seed)
-        roots = components(near.union(more), "u", "v").withColumnRenamed("node", "sig")
-    return distinct.select("sig", "key"), roots
+        roots = cut(components(near.union(more), "u", "v")).withColumnRenamed("node", "sig")
+    return distinct.select("sig", "key"), small(roots)

@@ -225,9 +225,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     hashed = cut(with_fingerprint(df.select(F.col(id_column).alias("doc"), F.col(text).alias("text")), "text"))
     classes = cut(hashed.groupBy("simhash").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")))
     edges = links(classes.select("simhash"), "simhash")
-    joined = components(edges, "u", "v")
+    joined = small(cut(components(edges, "u", "v")))
     # The least id of a component, over its fingerprints; the others are classes of their own.
-    member = joined.withColumnRenamed("node", "simhash").join(classes, "simhash").select("simhash", "first", "root")
+    member = classes.join(joined.withColumnRenamed("node", "simhash"), "simhash").select("simhash", "first", "root")
     least = cut(member.groupBy("root").agg(F.min("first").alias("least")))
     found = joined.join(small(least), "root").select(F.col("node").alias("simhash"), "least")
     labels = cut(classes.join(found, "simhash", "left").select("simhash", F.coalesce("least", "first").alias("component_id"), "rows"))

@@ -13,22 +13,30 @@ Exact copies are one vector with a count. A shard of more than ``PART_ROWS``
 vectors is dealt into parts, and every pair of its parts is searched in a task
 of its own; so a dense group of any size is neither collected nor capped, and
 no pairs are emitted: a task returns link counts and a spanning forest. A pair
-that shares several shards counts in the first of them.
-
-Recall is audited: for at most ``AUDIT`` vectors chosen by hash, links counted
-against all vectors by brute force. Below ``RECALL`` the search is repeated
-with more overlap.
-
-Defined results: vectors that are null, empty, zero, of another length than
-most, or hold null or non-finite components have no links and are components
-of their own; repeated ids are separate vectors that keep separate rows; a
-null id keeps its row; other columns are left out; an empty table gives an
-empty result.
+that shares several shards counts in the first of them. A search walks the
+part of the united graph whose vectors lie in its shard; neighbours beyond it
+are met in the other shards of the vector.
+
+Recall is audited: for at most ``AUDIT`` vectors chosen by hash, and as many of
+those with few links, links are counted against all vectors by brute force,
+and the lower mean of the two counts. Below ``RECALL`` the search is repeated
+with twice the overlap; where that is all shards and still isn't enough, all
+parts are compared exactly.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components have no links and are components of their own; vectors link with
+those of their own length only; rows with one vector but different ids are
+links of each other, and so are rows that repeat both; different vectors that
+repeat an id are separate; a row with a null id keeps it, counts as a link and
+gives no component its id (that of null ids alone is null); other columns are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import logging
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,30 +44,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, slices, table
+from .common import cut, join_hot, slices, small, table
 from .graph import components
 
-#: Cosine that links; vectors that centres are fitted to; centres at most; vectors of a shard on average, and of a part at most.
-LINK, SAMPLE, MAX_CENTRES, SHARD_ROWS, PART_ROWS = 0.95, 20_000, 4096, 1024, 1024
-#: Nearest centres of a vector; neighbours of a vector in a shard; pruning factor; beam of the greedy search; medoids it starts from.
-OVERLAP, DEGREE, FACTOR, BEAM, STARTS = 3, 16, 1.2, 12, 4
-#: How far below the link cosine the range search still expands; audited vectors; recall asked for.
-SLACK, AUDIT, RECALL, SEED = 0.05, 256, 0.95, 5
+#: Cosine that links; vectors, and their bytes, that centres are fitted to; centres at most; vectors of a shard on average, and of a part at most.
+LINK, SAMPLE, SAMPLE_BYTES, MAX_CENTRES, SHARD_ROWS, PART_ROWS = 0.95, 20_000, 40_000_000, 4096, 768, 1024
+#: Nearest centres of a vector; neighbours of a vector in a shard, and candidates for them; pruning factor; beam of the greedy search; medoids it starts from.
+OVERLAP, DEGREE, CANDIDATES, FACTOR, BEAM, STARTS = 3, 16, 48, 1.2, 12, 4
+#: How far below the link cosine the range search still expands; audited vectors; links of those that have few; recall asked for.
+SLACK, AUDIT, FEW_LINKS, RECALL, SEED = 0.05, 256, 32, 0.95, 5
 
 
 def unit_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(row, id, unit): unit vectors as packed doubles; null where a vector can't be linked."""
+    """(id, unit): unit vectors as packed doubles; null where a vector can't be linked."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    # The length that counts is that of most vectors.
-    most = rows.filter("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    size = most[0]["n"] if most else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             packed = []
             for v in batch.column(1).to_pylist():
                 x = None
-                if v is not None and len(v) == size > 0 and None not in v:
+                if v and None not in v:
                     a = np.array(v, np.float64)
                     a = a / top if np.isfinite(a).all() and (top := np.abs(a).max()) > 0 else None
                     x = None if a is None else (a / np.sqrt(a @ a)).tobytes()
@@ -73,6 +78,14 @@ def matrix(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
 
 
+def by_length(packed: list[bytes]) -> list[tuple[list[int], np.ndarray]]:
+    """(places, matrix) of the vectors of each length."""
+    places = defaultdict(list)
+    for i, p in enumerate(packed):
+        places[len(p)].append(i)
+    return [(some, matrix([packed[i] for i in some])) for _, some in sorted(places.items())]
+
+
 def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from randomly drawn vectors."""
     draw = np.random.default_rng(SEED)
@@ -90,28 +103,35 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def prune(x: np.ndarray, degree: int = DEGREE, factor: float = FACTOR) -> list[np.ndarray]:
     """Robust-pruned neighbours of every row, reachable from the medoid throughout.
 
-    All rows choose at a time: the nearest candidate left, after which the
-    candidates that are nearer to it by ``factor`` than to the row go.
+    All rows choose at a time, among their ``CANDIDATES`` nearest: the nearest
+    one left, after which those that are nearer to it by ``factor`` than to
+    the row go.
     """
     n = len(x)
     apart = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ x.T)))
-    left = apart.copy()
-    np.fill_diagonal(left, np.inf)
+    np.fill_diagonal(apart, np.inf)
+    k = min(CANDIDATES, n - 1)
     near: list[list[int]] = [[] for _ in range(n)]
-    rows = np.arange(n)
-    for _ in range(min(degree, n - 1)):
-        pick = left[rows].argmin(axis=1)
-        some = np.isfinite(left[rows, pick])
-        rows, pick = rows[some], pick[some]
-        if not len(rows):
-            break
-        for r, p in zip(rows.tolist(), pick.tolist(), strict=True):
-            near[r].append(p)
-        gone = factor * apart[pick] <= apart[rows]
-        gone[np.arange(len(rows)), pick] = True
-        block = left[rows]
-        block[gone] = np.inf
-        left[rows] = block
+    if k > 0:
+        pool = np.argpartition(apart, k - 1, axis=1)[:, :k]
+        left = np.take_along_axis(apart, pool, 1)
+        order = np.argsort(left, axis=1, kind="stable")
+        pool, own = np.take_along_axis(pool, order, 1), np.take_along_axis(left, order, 1)
+        left = own.copy()
+        rows = np.arange(n)
+        for _ in range(degree):
+            pick = left[rows].argmin(axis=1)
+            some = np.isfinite(left[rows, pick])
+            rows, pick = rows[some], pick[some]
+            if not len(rows):
+                break
+            chosen = pool[rows, pick]
+            for r, p in zip(rows.tolist(), chosen.tolist(), strict=True):
+                near[r].append(p)
+            gone = factor * apart[chosen[:, None], pool[rows]] <= own[rows]
+            gone[np.arange(len(rows)), pick] = True
+            left[rows] = np.where(gone, np.inf, left[rows])
+    np.fill_diagonal(apart, 0.0)
     both = [set(a) for a in near]
     for r, a in enumerate(near):  # both ways, as far as the other side has room
         for p in a:
@@ -202,27 +222,34 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def assign(reps: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
-    """(rep, mult, unit, shards): each vector's nearest centres, ascending by number."""
+def assign(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
+    """(rep, mult, unit, shards): each vector's nearest centres of its length, ascending by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
-            if batch.num_rows:
-                like = matrix(batch.column(2).to_pylist()) @ centres.T
-                k = min(overlap, like.shape[1])
-                near = np.sort(np.argpartition(-like, k - 1, axis=1)[:, :k], axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=["rep", "mult", "unit", "shards"])
+            for some, x in by_length(batch.column(2).to_pylist()):
+                length, centre = x.shape[1], centres.get(x.shape[1])
+                near = np.zeros((len(x), 1), np.int64)  # a length that wasn't sampled is one shard
+                if centre is not None:
+                    like = x @ centre.T
+                    k = min(overlap, like.shape[1])
+                    near = np.sort(np.argpartition(-like, k - 1, axis=1)[:, :k], axis=1)
+                rows = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((near + (length << 20)).tolist(), pa.list_(pa.int64()))], names=["rep", "mult", "unit", "shards"])
 
-    return reps.select("rep", "mult", "unit").mapInArrow(run, "rep long, mult long, unit binary, shards array<int>")
+    return reps.select("rep", "mult", "unit").mapInArrow(run, "rep long, mult long, unit binary, shards array<long>")
 
 
-def link_up(reps: DataFrame, centres: np.ndarray, overlap: int, link: float) -> DataFrame:
-    """(u, v, n): n more links of u, or (v given) an edge of the forest."""
+def link_up(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int, link: float, exact: bool = False) -> DataFrame:
+    """(u, v, n): n more links of u, or (v given) an edge of the forest.
+
+    With ``exact`` all vectors of two parts are compared.
+    """
     placed = assign(reps, centres, overlap)
     member = placed.withColumn("shard", F.explode("shards"))
     sizes = member.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("deal"))
-    # One row a centre, of which there are at most MAX_CENTRES.
-    member = cut(member.join(F.broadcast(sizes), "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int")))
+    # One row a centre, of which there are at most MAX_CENTRES a length.
+    member = cut(member.join(small(cut(sizes)), "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int")))
 
     def build(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("rep")
@@ -248,14 +275,14 @@ def link_up(reps: DataFrame, centres: np.ndarray, overlap: int, link: float) ->
             asked, held = np.flatnonzero(part == a), np.flatnonzero(part == b)
             place = {v: k for k, v in enumerate(ids[held].tolist())}
             graph = [np.array([place[v] for v in near[h] if v in place], np.int64) for h in held.tolist()]
-            u, v = search(x[asked], x[held], graph, link)
+            u, v = np.nonzero(x[asked] @ x[held].T >= link) if exact else search(x[asked], x[held], graph, link)
             found.append(np.stack([asked[u], held[v]], 1))
         pairs = np.concatenate(found)
         pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
         u, v = pairs[:, 0], pairs[:, 1]
         # The first shard that both belong to counts the pair.
-        common = np.where((shards[u][:, :, None] == shards[v][:, None, :]).any(axis=2), shards[u], np.iinfo(np.int32).max)
-        mine = common.min(axis=1, initial=np.iinfo(np.int32).max) == here
+        common = np.where((shards[u][:, :, None] == shards[v][:, None, :]).any(axis=2), shards[u], np.iinfo(np.int64).max)
+        mine = common.min(axis=1, initial=np.iinfo(np.int64).max) == here
         n = np.zeros(len(ids), np.int64)
         np.add.at(n, u[mine], mult[v[mine]])
         np.add.at(n, v[mine], mult[u[mine]])
@@ -273,56 +300,81 @@ def link_up(reps: DataFrame, centres: np.ndarray, overlap: int, link: float) ->
 
 
 def audit(reps: DataFrame, counted: DataFrame, link: float, most: int = AUDIT) -> float:
-    """The share of the links of at most ``most`` vectors that was found."""
-    asked = reps.orderBy(F.xxhash64("rep"), "rep").limit(most).select("rep", "unit").collect()
+    """The share of links found, as the mean over audited vectors that have any.
+
+    The lower of two means: over vectors chosen by hash alone, and over those
+    with few links, which large groups don't outweigh.
+    """
+    chosen = lambda some: [r["rep"] for r in some.orderBy(F.xxhash64("rep"), "rep").limit(most).select("rep").collect()]
+    sets = [set(chosen(reps)), set(chosen(counted.filter(F.col("n") <= FEW_LINKS)))]
+    asked = reps.filter(F.col("rep").isin(*set().union(*sets))).select("rep", "unit").orderBy("rep").collect()
     if not asked:
         return 1.0
-    ids, x = np.array([r["rep"] for r in asked]), matrix([bytes(r["unit"]) for r in asked])
+    ids, groups = np.array([r["rep"] for r in asked]), by_length([bytes(r["unit"]) for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for batch in slices(batches, 2048):
-            if batch.num_rows:
-                rep, mult = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                near = x @ matrix(batch.column(2).to_pylist()).T >= link
-                total += ((near & (rep[None, :] != ids[:, None])) * mult[None, :]).sum(axis=1)
+            rep, mult = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for some, x in by_length(batch.column(2).to_pylist()):
+                for mine, y in groups:
+                    if x.shape[1] == y.shape[1]:
+                        near = y @ x.T >= link
+                        total[mine] += ((near & (rep[some][None, :] != ids[mine][:, None])) * mult[some][None, :]).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["rep", "n"])
 
-    true = reps.select("rep", "mult", "unit").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("true"))
-    row = true.join(counted, "rep", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    true = reps.select("rep", "mult", "unit").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("true")).filter(F.col("true") > 0)
+    rows = true.join(counted, "rep", "left").select("rep", (F.least("true", F.coalesce("n", F.lit(0))) / F.col("true")).alias("share")).collect()
+    means = [np.mean(found) for some in sets if (found := [r["share"] for r in rows if r["rep"] in some])]
+    return float(min(means, default=1.0))
+
+
+def centres_of(sample: DataFrame, n: int, overlap: int) -> dict[int, np.ndarray]:
+    """Centres of each length of a bounded sample, fitted in one task; their number follows that of all ``n`` vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = sorted(x for batch in batches for x in batch.column(0).to_pylist())
+        found = {}
+        for some, x in by_length(packed):
+            share = n * len(some) / len(packed)
+            found[x.shape[1]] = fit_centres(x, min(MAX_CENTRES, max(1, -(-int(share * overlap) // SHARD_ROWS))))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["centres"])
+
+    return pickle.loads(sample.select("unit").repartition(1).mapInArrow(run, "centres binary").first()["centres"])
 
 
 def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", link: float = LINK, overlap: int = OVERLAP) -> DataFrame:
     """(id, n_links, component_id, kept) for every vector."""
     units = cut(unit_vectors(df, id_column, vector))
-    reps = cut(units.filter("unit IS NOT NULL").groupBy("unit").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("mult")).withColumn("rep", F.coalesce("least", F.xxhash64("unit"))))
-    n = reps.count()
-    counted, joined = None, None
+    reps = cut(units.filter("unit IS NOT NULL").groupBy("unit").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("mult")))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
+    n, width = reps.agg(F.count(F.lit(1)), F.max(F.octet_length("unit"))).first()
     if n:
-        # The sample: about SAMPLE vectors by hash.
-        draw = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
-        sample = reps.filter(draw | (F.lit(n) <= SAMPLE)).select("unit").collect()
+        # The sample: about SAMPLE vectors by hash, or as many as may reach SAMPLE_BYTES.
+        most = min(SAMPLE, max(1, SAMPLE_BYTES // width))
+        draw = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
+        sample, exact = reps.filter(draw | (F.lit(n) <= most)), False
         while True:
-            k = min(MAX_CENTRES, max(1, -(-n * overlap // SHARD_ROWS)))
-            found = link_up(reps, fit_centres(matrix([bytes(r["unit"]) for r in sample]), k), overlap, link)
-            counted = found.filter("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
+            centres = centres_of(sample, n, overlap)
+            k = max(map(len, centres.values()), default=1)
+            found = link_up(reps, centres, overlap, link, exact)
+            counted = cut(found.filter("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n")))
             recall = audit(reps, counted, link)
             logging.getLogger(__name__).info("recall %.4f with %d of %d shards a vector", recall, overlap, k)
-            if recall >= RECALL or overlap >= k:
+            if recall >= RECALL or exact:
                 break
-            overlap *= 2
-        joined = components(found.filter("v IS NOT NULL"), "u", "v")
-        reps = reps.join(counted, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-        reps = reps.select("unit", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+            exact, overlap = overlap >= k, 2 * overlap
+        joined = small(cut(components(found.filter("v IS NOT NULL"), "u", "v")))
+        reps = reps.join(small(counted), "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+        least = reps.groupBy("root").agg(F.min("least").alias("component_id"))
+        links = (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")
+        reps = cut(reps.select("unit", "root", "mult", links).join(least, "root").select("unit", "n_links", "component_id", "mult"))
+        linked = join_hot(units.filter("unit IS NOT NULL"), reps, "unit", "mult")
     else:
-        reps = reps.select("unit", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
-    out = units.join(reps, "unit", "left").select(
-        F.col("id").alias(id_column),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-    )
-    return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(False)))
+        linked = units.limit(0).select("*", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = units.filter("unit IS NULL").select("*", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.select("id", "n_links", "component_id").union(alone.select("id", "n_links", "component_id")).withColumnRenamed("id", id_column)
+    return out.withColumn("n_links", F.col("n_links").cast("long")).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(False)))
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
