@@ -94,6 +94,69 @@ def test_bad_branches_are_rejected_and_numbers_generalised(spark):
     assert {r["verdict"] for r in rest} == {"allow"} and len({r["template"] for r in rest[400:]}) == 1
 
 
+def plain_templates(rows):
+    """The template tree over (id, host, path, bad), in loops."""
+    rows = [[i, h, [s for s in p.split("/") if s], b, ""] for i, h, p, b in rows]
+
+    def same(a, b):
+        if a[1] < urls.MIN_LABELS or b[1] < urls.MIN_LABELS:
+            return True
+        share = (a[0] + b[0]) / (a[1] + b[1])
+        return abs(a[0] / a[1] - b[0] / b[1]) <= urls.DIFFERENT * (share * (1 - share) * (1 / a[1] + 1 / b[1])) ** 0.5
+
+    for level in range(max((len(r[2]) for r in rows), default=0)):
+        child, total = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0])
+        for _, h, s, b, t in rows:
+            if level < len(s):
+                c, n = child[h, t, s[level]], total[h, t]
+                c[2] += 1
+                if b is not None:
+                    c[0], c[1], n[0], n[1] = c[0] + b, c[1] + 1, n[0] + b, n[1] + 1
+        apart = {k: c for k, c in child.items() if c[2] >= urls.MIN_PAGES and c[1] >= urls.MIN_LABELS and not same(c, [total[k[:2]][i] - c[i] for i in (0, 1)])}
+        step = {k: int(np.arcsin((c[0] / c[1]) ** 0.5) / urls.STEP) for k, c in apart.items()}
+        own = {}
+        for k, c in apart.items():
+            others = [sum(x[i] for q, x in apart.items() if q[:2] == k[:2] and step[q] == step[k] and q != k) for i in (0, 1)]
+            own[k] = f"/*{step[k]}*" if others[1] and same(c, others) else "/" + k[2]
+        for r in rows:
+            if level < len(r[2]):
+                r[4] += own.get((r[1], r[4], r[2][level]), "/*")
+    return {r[0]: r[4] for r in rows}
+
+
+def test_template_tree_equals_brute_force(spark):
+    draw = random.Random(7)
+    rows, labels = [], []
+    odds = {"spam": 0.95, "bets": 0.9, "pills": 0.92, "news": 0.05, "blog": 0.1, "mixed": 0.5, "shop": 0.45}
+    for i in range(1500):
+        top = draw.choice([*odds, *(f"one-off{draw.randrange(10**6)}" for _ in range(2))])
+        path = f"/{top}/{draw.choice(['a', 'b', str(i)])}/{draw.choice(['x', 'y', i])}"
+        rows.append((i, draw.choice(["h.org", "g.org"]), path, (draw.random() < odds.get(top, 0.2)) if draw.random() < 0.6 else None))
+        if rows[-1][3] is not None:
+            labels.append((i, rows[-1][3]))
+    got = judged(spark, [(i, f"http://{h}{p}") for i, h, p, _ in rows], labels)
+    want = plain_templates(rows)
+    assert {i: r["template"] for i, r in got.items()} == want
+    assert any("*" in t.strip("/").replace("/*", "").replace("*/", "") for t in want.values()) and len(set(want.values())) > 6
+    # Verdicts: the smoothed share of bad labels of each host and template.
+    prior = sum(b for _, b in labels) / len(labels)
+    count = defaultdict(lambda: [0, 0])
+    for i, h, _, b in rows:
+        if b is not None:
+            count[h, want[i]][0] += b
+            count[h, want[i]][1] += 1
+    for i, h, _, _ in rows:
+        bad, n = count[h, want[i]]
+        assert got[i]["verdict"] == ("block" if (bad + urls.STRENGTH * prior) / (n + urls.STRENGTH) >= urls.REJECT else "allow")
+
+
+def test_pages_of_one_key_or_none(spark):
+    rows = [(1, f"http://h.org/a/{i}") for i in range(300)] + [(None, f"http://h.org/b/{i}") for i in range(300)] + [(2, "http://h.org/*/x")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.judge(pages, spark.createDataFrame([(1, True), (2, False)], "key long, bad boolean"), F.col("page_id")).groupBy("verdict").count().collect()
+    assert sum(r["count"] for r in out) == 603
+
+
 def test_branches_among_many_siblings_and_deep_down(spark):
     rows, labels = [], []
     for i in range(100):
@@ -437,6 +500,14 @@ def test_html_query(spark):
 # The pipeline ------------------------------------------------------------------------------
 
 
+def test_rows_that_repeat_id_and_text_are_dealt_over_stretches(spark):
+    df = spark.createDataFrame([(7, "the same text again")] * 400 + [(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    dealt = packing.deal(df.select(F.col("doc_id").alias("doc"), "text")).filter("doc = 7 AND text LIKE 'the%'").groupBy("stretch").count().collect()
+    assert len(dealt) > 4 and max(r["count"] for r in dealt) < 200
+    rows = packing.pack(df, WORD).collect()
+    assert sum(r["start"] == 0 for r in rows) == 440
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -124,13 +125,31 @@ def test_fingerprints_of_odd_tables(spark):
     assert fingerprints.edited(texts(spark, [])).count() == 0
     df = spark.createDataFrame([(7, "b" * 40), (7, "a" * 40), (None, "c" * 40), (9, None)], "doc_id long, text string")
     got = fingerprints.edited(df).collect()
-    order = [(9, ""), (7, "a" * 40), (7, "b" * 40), (None, "c" * 40)]
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t, 42), "big", signed=True)
+    order = [(9, ""), *((7, t) for t in sorted(("a" * 40, "b" * 40), key=signed, reverse=True)), (None, "c" * 40)]
     by = {(r["doc_id"], r["edited"]): r for r in got}
     check_edited(order, [by[d, t[: len(t) - len(t) // 2] + order[(i + 1) % 4][1][: len(t) // 2]] for i, (d, t) in enumerate(order)])
     long = "".join(random.Random(4).choice("abcdef ") for _ in range(200_000))
     assert fingerprints.edited(texts(spark, [long, long])).first()["near_next"] == 1.0
 
 
+def test_fingerprints_with_an_id_that_most_rows_have(spark):
+    draw = random.Random(8)
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest(t, 42), "big", signed=True)
+    rows = [(5, "".join(draw.choice("abc ") for _ in range(40))) for _ in range(150)] + [(i, f"text number {i} of a few") for i in range(10)] + [(7, "the same again and again")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = df.select(F.col("doc_id").alias("at"), "text").withColumn("same", F.xxhash64("text"))
+    sizes = fingerprints.in_buckets(docs, ["at", "same"], "text").filter("at = 5 AND edge = 0").groupBy("bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 60
+    order = sorted(rows, key=lambda r: (r[0], signed(r[1]), r[1]), reverse=True)
+    want = Counter()
+    for i, (doc, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        half = len(text) // 2
+        want[doc, text[: len(text) - half] + after[:half]] += 1
+    assert Counter((r["doc_id"], r["edited"]) for r in fingerprints.edited(df).collect()) == want
+
+
 # Quality --------------------------------------------------------------------------
 
 
@@ -254,6 +273,46 @@ def test_secrets_of_odd_rows(spark):
     assert masked == [t if not t or not plain_spans(t) else "[SECRET]" for t in ODD]
 
 
+def test_formats_of_few_values_are_found(spark):
+    draw = random.Random(3)
+    value = lambda: "sk_" + "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    bare = value()
+    rows = [f"token = {value()} ends" for _ in range(7)] + [f"pasted {bare} here"] + ["some ordinary sentences of internationalisation and identifier_names without anything."] * 9
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(texts(spark, rows)).collect()}
+    assert masked[7] == "pasted [SECRET] here" and all(masked[i] == rows[i] for i in range(8, len(rows)))
+
+
+def test_clean_texts_have_no_inferred_spans(spark):
+    """Precision on prose: what is inferred in documents of the tables lies in no plain word."""
+    rows = secrets.find_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).collect()
+    found = [s["value"] for r in rows for s in r["spans"] if s["kind"] == "inferred"]
+    assert not [v for v in found if v.isalpha()] and len(found) <= 0.01 * len(rows)
+
+
+def test_runs_are_the_tokens():
+    draw = random.Random(6)
+    for _ in range(200):
+        text = "".join(draw.choice("abcABC019+/_.=-  \n'é日") for _ in range(draw.randrange(120)))
+        assert [w.decode() for w in secrets.runs(text)] == secrets._TOKEN.findall(text)
+
+
+@pytest.mark.parametrize("text", ["½ ² ①", "12 34", "_", "٣", ""])
+def test_texts_without_a_letter_have_no_language(spark, text):
+    known = spark.createDataFrame([(i, "some words of a text", "en") for i in range(5)], "doc_id long, text string, lang string")
+    row = language.predict(texts(spark, [text]), language.learn(known, F.lit(True))).first()
+    assert (row["lang_pred"], row["lang_score"]) == ("und", 0.0)
+
+
+def test_learning_with_an_id_that_most_rows_have(spark):
+    rows = [(None, "the same words of one text", "en")] * 60 + [(3, "die gleichen wörter eines textes", "de")] * 60
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert sorted(k for g in model.groups for k in g) == ["de", "en"]
+    docs = spark.createDataFrame([(1, "fine words here and there")] * 50 + [(2, "BAD!! BAD!! BAD!!")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 30 + [(2, 0)] * 30 + [(4, 0), (4, 1), (None, 1)], "doc_id long, quality int")
+    found = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.learn(docs, labels, F.lit(True))).collect()}
+    assert found[1] > 0.5 > found[2] or found[1] >= 0.5 > found[2]
+
+
 @pytest.mark.parametrize("values", [["a1b2c3d4"] * 9, ["0" * 300] * 20, ["x"], []])
 def test_inference_on_few_or_equal_values(values):
     formats = secrets.learn({"assign": values}, [])

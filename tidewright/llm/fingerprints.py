@@ -15,20 +15,25 @@ A text edited by replacing its end by the start of another has, but for the
 windows around the seam, windows of the two texts. So its fingerprint is put
 together from theirs, and only the seam is hashed again.
 
-The next document by descending id is found in buckets of ids between
-quantiles: a window function runs within a bucket, and the first rows of a
-bucket are also sent to the end of the bucket before it. Texts are shuffled
-once; no task sees more than its buckets.
+The next document by descending id is found in buckets between quantiles of
+(id, hash of the text): a window function runs within a bucket, and the first
+row of a bucket is also sent to the end of the bucket before it. Texts are
+shuffled once; no task sees more than its buckets, and the rows of one id
+spread over many of them by their texts. Only rows that repeat both id and
+text, which are each other's next, stay in one bucket.
 
 Defined results: null text is the empty text, whose fingerprint is the empty
 string; two empty fingerprints have likeness 1, an empty and another 0; rows
-that repeat an id follow each other by text; rows with a null id come last; a
+that repeat an id follow each other by descending hash of their texts, then by
+text; rows with a null id come last; a
 table of one row is its own next; an empty table gives an empty result; other
 columns are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,34 +108,39 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return whole.withColumn(out, written(F.array_distinct("__minima"))).drop("__text", "__minima")
 
 
-def in_buckets(docs: DataFrame, order: str) -> DataFrame:
-    """``docs`` with ``bucket`` and ``edge``: rows near in descending order share a bucket.
+def in_buckets(docs: DataFrame, order: Sequence[str], text: str, sample: int = 20) -> DataFrame:
+    """``docs`` with ``bucket`` and ``edge``: rows near in descending ``order`` share a bucket.
 
-    A bucket's first rows are repeated, with ``edge`` 1, in the bucket before
-    it (those of the first one in the last). What reaches the driver is a
-    boundary and a first value for each bucket: at most four a partition.
+    The first row of a bucket is repeated, with ``edge`` 1, in the bucket
+    before it (that of the first one in the last). What reaches the driver is
+    about ``sample`` values a bucket, which decide nothing but how even the
+    buckets are, and each bucket's first value; there are four buckets a
+    partition at most.
     """
     spark = docs.sparkSession
     wanted = 4 * parts(spark)
-    shares = [(i + 1) / wanted for i in range(wanted - 1)]
-    found = docs.agg(F.percentile_approx(order, shares, max(10_000, 20 * wanted))).first()[0] or [0]
-    bounds = sorted(set(found), reverse=True)
-    width = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    value = F.col(order)
-    # How many boundaries lie above the value: whole blocks first, then within one block.
-    tops = F.array(*(F.lit(b[-1]) for b in blocks))
-    passed = F.size(F.filter(tops, lambda b: b > value))
-    table_ = F.array(*(F.array(*(F.lit(x) for x in b)) for b in blocks))
-    inside = F.when(passed < len(blocks), F.size(F.filter(F.element_at(table_, F.least(passed + 1, F.lit(len(blocks)))), lambda b: b > value))).otherwise(0)
-    docs = docs.withColumn("bucket", (passed * width + inside).cast("long"))
-    firsts = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.max(order)).collect())
-    rows = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    edges = spark.createDataFrame(rows, f"`first` long, `before` long")
-    marked = docs.join(F.broadcast(edges), F.col(order) == F.col("first"), "left").drop("first")
-    at = lambda b, e: F.struct(b.alias("bucket"), F.lit(e).alias("edge"))
-    both = F.when(F.col("before").isNull(), F.array(at(F.col("bucket"), 0))).otherwise(F.array(at(F.col("bucket"), 0), at(F.col("before"), 1)))
-    return marked.withColumn("place", F.explode(both)).drop("bucket", "before").select("*", "place.*").drop("place")
+    value = F.struct(*order)
+    n = docs.count()
+    drawn = sorted((tuple(r) for r in docs.select(*order).sample(min(1.0, sample * wanted / max(n, 1)), 7).collect()), reverse=True)
+    bounds = sorted({drawn[len(drawn) * (i + 1) // wanted] for i in range(wanted - 1)}, reverse=True) if drawn else []
+    if bounds:
+        # How many boundaries lie above the value: whole blocks first, then within one block.
+        as_value = lambda b: F.struct(*(F.lit(x).alias(c) for x, c in zip(b, order, strict=True)))
+        width = max(1, int(len(bounds) ** 0.5))
+        blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+        passed = F.size(F.filter(F.array(*(as_value(b[-1]) for b in blocks)), lambda b: b > value))
+        table_ = F.array(*(F.array(*map(as_value, b)) for b in blocks))
+        inside = F.when(passed < len(blocks), F.size(F.filter(F.element_at(table_, F.least(passed + 1, F.lit(len(blocks)))), lambda b: b > value))).otherwise(0)
+        docs = docs.withColumn("bucket", (passed * width + inside).cast("long"))
+    else:
+        docs = docs.withColumn("bucket", F.lit(0).cast("long"))
+    firsts = sorted((r["bucket"], *r["first"]) for r in docs.groupBy("bucket").agg(F.max(value).alias("first")).collect())
+    rows = [(*first[1:], firsts[i - 1][0]) for i, first in enumerate(firsts)]
+    schema = ", ".join([*(f"`{c}` long" for c in order), "before long"])
+    # One row of those that repeat a bucket's first value: they have one text.
+    edges = docs.join(F.broadcast(spark.createDataFrame(rows, schema)), list(order)).groupBy(*order, "before").agg(F.min(text).alias(text))
+    edges = edges.select(*(F.col(c) if c in (*order, text) else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c != "bucket"), F.col("before").alias("bucket"))
+    return docs.withColumn("edge", F.lit(0)).unionByName(edges.withColumn("edge", F.lit(1)))
 
 
 def edited(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,8 +153,9 @@ def edited(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_column).alias("doc"), F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = in_buckets(docs, "at").repartition(parts(spark), "bucket")
-    keys = [F.col("bucket"), F.col("edge"), F.col("at").desc(), F.col("text")]
+    docs = docs.withColumn("same", F.xxhash64("text"))
+    dealt = in_buckets(docs, ["at", "same"], "text").repartition(parts(spark), "bucket")
+    keys = [F.col("bucket"), F.col("edge"), F.col("at").desc(), F.col("same").desc(), F.col("text")]
     own = with_minima(dealt.sortWithinPartitions(*keys), "text", "m")
     own = own.withColumn("s", F.array_distinct("m")).withColumn("n", F.char_length("text"))
     window = Window.partitionBy("bucket").orderBy(*keys[1:])

@@ -12,7 +12,9 @@ padding. So no sequence at all is padded unless it is too short for the
 pieces.
 
 Copies share one key; the id is the second key of a stretch's ends, so a group
-of copies of any size is dealt over many stretches. A task holds one batch and one open
+of copies of any size is dealt over many stretches; rows that repeat id and text
+are told apart by a third, spread from their number in their task, which comes
+out the same in whatever order a task reads them. A task holds one batch and one open
 sequence. Its input is sorted by all its columns, so a task that runs again
 makes the same pieces with the same sequence ids.
 
@@ -122,7 +124,7 @@ def curve_keys(texts: list[str]) -> np.ndarray:
 def deal(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc, text, curve_key, stretch): the documents with their stretch of the curve.
 
-    Stretches lie between quantiles of (key, id) over about ``sample`` rows
+    Stretches lie between quantiles of (key, id, salt) over about ``sample`` rows
     drawn at random, as Spark's own range shuffle would draw them; unlike that,
     the keys of the others are computed once. The sample decides nothing but
     how even the stretches are.
@@ -130,25 +132,34 @@ def deal(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = df.sparkSession
     wanted = 4 * parts(spark)
     n = df.count()
-    drawn = df.sample(min(1.0, sample / max(n, 1)), SEED).mapInArrow(_keyed(None), _KEYED).select("curve_key", "at").collect()
-    points = sorted((r[0], r[1]) for r in drawn)
+    drawn = df.sample(min(1.0, sample / max(n, 1)), SEED).mapInArrow(_keyed(None), _KEYED).select("curve_key", "at", "salt").collect()
+    points = sorted((r[0], r[1], r[2]) for r in drawn)
     bounds = sorted({points[len(points) * i // wanted] for i in range(1, wanted)}) if points else []
     return df.mapInArrow(_keyed(bounds), _KEYED)
 
 
-_KEYED = "doc long, text string, curve_key long, at long, stretch int"
+_KEYED = "doc long, text string, curve_key long, at long, salt long, stretch int"
 
 
-def _keyed(bounds: list[tuple[int, int]] | None):
+def _keyed(bounds: list[tuple[int, int, int]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats: dict[tuple[int, int, int], int] = {}
+
+        def salt(key: int, at: int, text: str) -> int:
+            row = (key, at, hash(text))
+            k = repeats[row] = repeats.get(row, -1) + 1
+            return k * 0x9E3779B1 & 0xFFFFFFFF
+
         for batch in slices(batches):
             if not batch.num_rows:
                 continue
-            keys = curve_keys([t or "" for t in batch.column(1).to_pylist()]).tolist()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            keys = curve_keys(texts).tolist()
             at = [-(1 << 63) if d is None else d for d in batch.column(0).to_pylist()]
-            stretch = [bisect_right(bounds, x) if bounds else 0 for x in zip(keys, at, strict=True)]
+            salts = [salt(*x) for x in zip(keys, at, texts, strict=True)]
+            stretch = [bisect_right(bounds, x) if bounds else 0 for x in zip(keys, at, salts, strict=True)]
             text = batch.column(1) if bounds is not None else pa.nulls(batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(stretch, pa.int32())], names=["doc", "text", "curve_key", "at", "stretch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, *(pa.array(x, pa.int64()) for x in (keys, at, salts)), pa.array(stretch, pa.int32())], names=["doc", "text", "curve_key", "at", "salt", "stretch"])
 
     return run
 
@@ -280,7 +291,7 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str =
     """
     spark = df.sparkSession
     keyed = deal(df.select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text")))
-    dealt = keyed.repartition(parts(spark), "stretch").sortWithinPartitions("stretch", "curve_key", "doc", "text")
+    dealt = keyed.repartition(parts(spark), "stretch").sortWithinPartitions("stretch", "curve_key", "doc", "salt", "text")
     schema = T.StructType(
         [T.StructField(id_column, T.LongType())]
         + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]

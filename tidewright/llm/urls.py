@@ -5,11 +5,18 @@ their good and bad labels. A child keeps its own branch if it has support and it
 share of bad labels differs from that of all its siblings together by a
 two-proportion test, however many siblings it has. All other children, variable
 segments such as numbers and branches that are statistically alike, become one
-wildcard branch. A template is rejected if its share of bad labels, smoothed
-towards the share in the whole table, reaches ``REJECT``.
+wildcard branch. Of the branches that differ, those of like share (in steps of
+``STEP`` on the arcsine scale, where shares are equally noisy) that the same
+test doesn't tell from the others of their step are merged into one. A template
+is rejected if its share of bad labels, smoothed towards the share in the whole
+table, reaches ``REJECT``.
+
+In a template ``*`` is the wildcard branch and ``*n*`` the merged one of step n;
+a star in a path is written ``%2A``.
 
 Every step groups by keys that contain the segment or joins on them, so a host
 with a third of all pages is counted by many tasks and pre-aggregated in each.
+Pages whose key is null or many pages have don't meet in a task to get their label.
 Branches that are kept (by their support, at most one in ``MIN_PAGES`` pages)
 and templates are broadcast where they are counted to be few, else Spark splits
 skewed joins. Each level is checkpointed. The levels end where no page is left
@@ -32,11 +39,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, join_hot, small, table
 from .html import host_of
 
 #: Pages and labels that a branch of its own needs.
 MIN_PAGES, MIN_LABELS = 20, 8
+#: Steps of branches that may merge, in radians of the arcsine of the share's root.
+STEP = 0.2
 #: Normal quantile beyond which two branches differ; labels' worth of smoothing; share of bad labels that rejects.
 DIFFERENT, STRENGTH, REJECT = 2.58, 10.0, 0.5
 OUT = ("host", "path", "rule", "verdict", "template", "bad_share")
@@ -111,10 +120,17 @@ def templates(urls: DataFrame) -> DataFrame:
         if all_.filter((F.col("all_pages") >= MIN_PAGES) & (F.col("all_labelled") >= 2 * MIN_LABELS)).isEmpty():
             left = F.greatest(F.size("s") - F.lit(level - 1), F.lit(0))
             return now.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), left))).drop("s", "seg")
-        apart = able.join(all_, node).filter(~_same(mine, rest)).select(*node, "seg", F.lit(True).alias("own"))
-        step = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("own"), F.concat(F.lit("/"), F.col("seg"))).otherwise(F.lit("/*"))
+        apart = cut(able.join(all_, node).filter(~_same(mine, rest)).select(*node, "seg", "bad", "labelled"))
+        at = F.floor(F.asin(F.sqrt(F.col("bad") / F.col("labelled"))) / STEP).cast("string")
+        apart = apart.withColumn("step", at)
+        like = apart.groupBy(*node, "step").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+        # A branch alone in its step has no others, so nothing to merge with.
+        merged = (F.col("all_labelled") > F.col("labelled")) & _same(mine, rest)
+        own = F.when(merged, F.concat(F.lit("/*"), "step", F.lit("*"))).otherwise(F.concat(F.lit("/"), F.replace("seg", F.lit("*"), F.lit("%2A"))))
+        named = cut(apart.join(like, [*node, "step"]).select(*node, "seg", own.alias("own")))
+        step = F.when(F.col("seg").isNull(), F.lit("")).otherwise(F.coalesce("own", F.lit("/*")))
         # Each level is read twice by the next: without a cut the plan would double with every level.
-        now = cut(now.join(small(cut(apart)), [*node, "seg"], "left").withColumn("template", F.concat("template", step)).drop("seg", "own"))
+        now = cut(now.join(small(named), [*node, "seg"], "left").withColumn("template", F.concat("template", step)).drop("seg", "own"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, key: Column, url: str = "url", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -126,7 +142,10 @@ def judge(pages: DataFrame, labels: DataFrame, key: Column, url: str = "url", ru
     kept = [c for c in pages.columns if c not in OUT]
     known = labels.filter("key IS NOT NULL AND bad IS NOT NULL").groupBy("key").agg(F.max("bad").alias("bad"))
     keyed = pages.select(F.struct(*kept).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), key.alias("key"))
-    named = templates(keyed.join(known, "key", "left").drop("key"))
+    counted = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    side = cut(counted.join(known, "key", "left"))
+    labelled = join_hot(keyed.filter("key IS NOT NULL"), side, "key", "rows")
+    named = templates(labelled.unionByName(keyed.filter("key IS NULL").withColumn("bad", F.lit(None).cast("boolean"))).drop("key"))
     count = named.groupBy("host", "template").agg(F.count("bad").alias("n"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad_n"))
     prior = named.agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()[0]
     purity = count.select("host", "template", ((F.col("bad_n") + F.lit(STRENGTH * prior)) / (F.col("n") + F.lit(STRENGTH))).alias("bad_share"))
