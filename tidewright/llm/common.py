@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again.
+
+    Unlike a checkpoint's, its size is known from its files. Spark estimates a
+    join as the product of its sides and a checkpoint keeps the estimate of
+    its plan, so in a loop that joins the numbers would square in every round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(side: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``side``, marked for broadcast only if it was counted to have few rows.
 

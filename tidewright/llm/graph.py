@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, parts
+from .common import cut, join_hot, parts, stored
 
-#: Edges of a checkpoint file; edges whose nodes' minima are few enough to broadcast.
+#: Edges of a file; edges whose nodes' minima are few enough to broadcast.
 EDGES_A_FILE, FEW_EDGES = 200_000, 50_000
 
 
@@ -25,10 +25,10 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 60, few: int
     The minima of all nodes, while edges are counted to be few, or else those
     of nodes with over a thousandth of the edges, are broadcast, so a node of
     any degree is neither collected, nor joined in one task, nor paired with
-    itself. Each round is checkpointed. Null ends and loops are ignored.
+    itself. Each round is written to the shared folder. Null ends and loops are ignored.
     """
     pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _signature(now)
     if before[0] == 0:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -38,7 +38,7 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 60, few: int
             return rows.join(F.broadcast(least.drop("degree")), "u")
         return join_hot(rows, cut(least), "u", "degree")
 
-    # Rounds never add edges, so few edges need few checkpoint files.
+    # Rounds never add edges, so few edges need few files.
     files = min(parts(edges.sparkSession), 1 + before[0] // EDGES_A_FILE)
     for _ in range(max_rounds):
         # Large star: hang every larger neighbour of a node on the least node around it.
@@ -48,7 +48,7 @@ def components(edges: DataFrame, u: str, v: str, max_rounds: int = 60, few: int
         # Small star: hang every smaller neighbour and the node itself on its least neighbour.
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
         small = with_least(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
+        now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
         after = _signature(now)
         if after == before:
             break
