@@ -569,6 +569,16 @@ def alike_roots(rows):
     return roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
 
 
+def test_sketches_bound_what_sets_share():
+    draw = np.random.default_rng(2)
+    for n, m, common in [(0, 0, 0), (1, 1, 1), (40, 45, 40), (500, 450, 400), (3000, 20, 10), (100_000, 90_000, 80_000)]:
+        all_ = np.unique(draw.integers(0, 1 << 63, n + m, np.int64).astype(np.uint64))
+        a, b = np.sort(all_[:n]), np.sort(np.concatenate([all_[:common], all_[n : n + m - common]]))
+        assert simhash.shingles.most_shared(simhash.shingles.sketch(a), simhash.shingles.sketch(b)) >= len(np.intersect1d(a, b))
+    same = np.full(1000, 7, np.uint64) + (np.arange(1000, dtype=np.uint64) << np.uint64(32))
+    assert simhash.shingles.sketch(same) == b"" and simhash.shingles.most_shared(b"", b"\x01" * 8) == np.inf
+
+
 def test_first_copies_equal_brute_force(spark, monkeypatch):
     draw = random.Random(4)
     rows, base = ["", " ", None, "a b", "A  b", "a b c"], []

@@ -13,8 +13,10 @@ Only distinct sets are searched. First the proposed pairs are compared and,
 for every set, that with the list head (the member that is in most lists) whom
 it meets in most lists; then all pairs of a list whose ends are not connected yet. So a
 large group of near copies costs its members, not its pairs. Lists longer than
-``LIST_ROWS`` are dealt into chunk pairs. Every pair that passes the filters
-is verified on the whole sets.
+``LIST_ROWS`` are dealt into chunk pairs. A pair that passes is first held to
+the bound that two sketches give: a sketch counts a set's shingles by bucket,
+and sets share no more than the lesser counts of all buckets. What is left is
+verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from .graph import components
 ALIKE = (4, 5)
 #: Documents sampled for common shingles, sampled documents that make one common, common shingles at most.
 SAMPLE_DOCS, COMMON_DOCS, MOST_COMMON = 5000, 3, 50_000
-#: Members of a list that are paired under one key.
-LIST_ROWS = 2048
+#: Members of a list that are paired under one key; shingles a bucket of a sketch, about.
+LIST_ROWS, BUCKET = 2048, 4
 
 
 def hashes(text: str, n_words: int, seed: int) -> bytes:
@@ -94,11 +96,41 @@ def prefix(found: np.ndarray, common: np.ndarray, order: np.ndarray) -> np.ndarr
     return found[np.lexsort((found, rank))][: len(found) - -(-a * len(found) // b) + 1]
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """A set's shingles counted by their last bits, about ``BUCKET`` a bucket; empty if a byte can't hold a count."""
+    buckets = 1 << min(max(int(len(found) // BUCKET).bit_length(), 3), 14)
+    counts = np.bincount((found & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> float:
+    """The most shingles that sets with these sketches can share."""
+    if not a or not b:
+        return np.inf
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in sorted((a, b), key=len))
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+
+
+def _possible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs (u, v) that may be alike by their sketches, materialised."""
+    of = lambda end: distinct.select(F.col("sig").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", (F.col("n_u") + F.col("n_v")).alias("n"), "sketch_u", "sketch_v")
+    a, b = ALIKE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            n, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keep = [(a + b) * most_shared(s, t) >= a * k for k, s, t in zip(n, x, y, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(both.mapInArrow(run, "u long, v long"))
+
+
 def _signed(texts: DataFrame, common: np.ndarray, sign: Callable[[bytes], int], n_words: int, seed: int) -> DataFrame:
-    """The rows of ``texts`` without text, with the set's simhash, sig, n and prefix."""
+    """The rows of ``texts`` without text, with the set's simhash, sig, n, prefix and sketch."""
     order = np.argsort(common)
     kept = [c for c in texts.columns if c != "text"]
-    added = T._parse_datatype_string("simhash long, sig long, n int, prefix array<long>")
+    added = T._parse_datatype_string("simhash long, sig long, n int, prefix array<long>, sketch binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -111,6 +143,7 @@ def _signed(texts: DataFrame, common: np.ndarray, sign: Callable[[bytes], int],
                 pa.array(np.array([_signature(s) for s in sets], np.uint64).view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array(firsts, pa.list_(pa.int64())),
+                pa.array([sketch(s) for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), *made], names=[*kept, *added.names])
 
@@ -178,17 +211,17 @@ def classes(texts: DataFrame, proposed: Callable[[DataFrame], DataFrame], sign:
     pairs (u, v) to compare first.
     """
     signed = _signed(texts, _common(texts, n_words, seed), sign, n_words, seed)
-    distinct = cut(signed.groupBy("sig").agg(F.first("simhash").alias("simhash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("key").alias("key")))
+    distinct = cut(signed.groupBy("sig").agg(F.first("simhash").alias("simhash"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("key").alias("key")))
     lists = _lists(distinct)
     head = lists.groupBy("shingle").agg(F.max(F.struct("lists", "sig", "n", "at")).alias("head"))
     star = lists.join(head, "shingle").filter((F.col("sig") != F.col("head.sig")) & _may_alike(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at")))
     met = star.groupBy("sig", F.col("head.sig").alias("u")).agg(F.count(F.lit(1)).alias("met"))
     best = met.groupBy("sig").agg(F.max_by("u", F.struct("met", "u")).alias("u"))
     first = cut(best.select(F.least("u", "sig").alias("u"), F.greatest("u", "sig").alias("v")).union(proposed(distinct)).distinct())
-    near = _verified(first, texts, distinct, n_words, seed)
+    near = _verified(_possible(first, distinct), texts, distinct, n_words, seed)
     roots = cut(components(near, "u", "v")).select(F.col("node").alias("sig"), "root")
     rest = lists.join(small(roots), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    pairs = cut(_pairs(rest, list_rows).join(first, ["u", "v"], "left_anti"))
+    pairs = _possible(_pairs(rest, list_rows).join(first, ["u", "v"], "left_anti"), distinct)
     if not pairs.isEmpty():
         more = _verified(pairs, texts, distinct, n_words, seed)
         roots = cut(components(near.union(more), "u", "v")).withColumnRenamed("node", "sig")
