@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import records, strings, text, times
-from tidewright.operators import joins, monitors, names, slots
+from tidewright.operators import joins, monitors, names, rules, slots
 from tidewright.plans import jobs
 from tidewright.sources import files
-from tidewright.streaming import launches
+from tidewright.streaming import cadence, launches
 
 
 def one(spark, column):
@@ -206,3 +206,88 @@ def test_underperformers_at_their_limits(spark):
     df = spark.createDataFrame([{**base, **c, "i": i} for i, (c, _, _) in enumerate(cases)], "i int, status string, lead_count string, completed string, contacted string, replied string, positive string, away string, lead_total string")
     got = {r["i"]: (r["decision"], r["reason"]) for r in monitors.decide(df).collect()}
     assert got == {i: (d, r) for i, (_, d, r) in enumerate(cases)}
+
+
+def test_rules_of_a_table_keep_their_order(spark):
+    rows = [(2, "anywhere", "auto", "transport"), (1, "words", "household", None), (3, "ends", ".gov", "public"), (3, "ends", ".edu", "public"), (2, "pattern", r"\bcars\b", "transport"), (4, "starts", "big", "big")]
+    table = spark.createDataFrame(rows, "rank int, test string, token string, label string")
+    found = rules.rule_set(table, "unsorted")
+    cases = {"household auto": None, "households": "unsorted", "AUTO.gov": "transport", "my cars": "transport", "x.edu": "public", "big": "big", "": "unsorted"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["x"] for r in df.select("t", found.on(F.col("t")).alias("x")).collect()} == cases
+    for bad in ((1, "words", "x", "other"), (9, "no such test", "x", "y"), (2, "pattern", "z", "transport")):
+        with pytest.raises(ValueError):
+            rules.rule_set(table.union(spark.createDataFrame([bad], table.schema)))
+    pairs = spark.createDataFrame([(1, "anywhere", "weld", "Engineering", "plant"), (2, "starts", "intro", None, None)], "rank int, test string, token string, job string, field string")
+    both = rules.rule_set(pairs, ("Other", None), ("job", "field"))
+    got = spark.createDataFrame([("Welding",), ("Intro",), ("x",)], "t string").select(both.on(F.col("t")).alias("x")).collect()
+    assert [tuple(r["x"]) for r in got] == [("Engineering", "plant"), (None, None), ("Other", None)]
+
+
+def test_zone_parts_like_the_standard_library(spark):
+    from tidewright import plans
+
+    york = zoneinfo.ZoneInfo("America/New_York")
+    sf = "/root/testdata/sf0.001"
+    at = {r["event_id"]: r["ts"] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")).collect()}
+    for r in plans.QUERIES["f15_zone_parts"](spark, sf).collect():
+        own = at[r["event_id"]].replace(tzinfo=datetime.UTC).astimezone(york)
+        assert (r["weekday"], r["hour"], r["day"]) == (own.isoweekday() % 7 + 1, own.hour, own.date())
+
+
+def test_people_and_cards(spark):
+    names = {"Ann Lee": True, "J. O'Neil-Ray": True, "one two three four five six": False, "": False, "Exhibitor Hall": False, "Room 9": False, None: False, "  Ann   Lee ": True}
+    df = spark.createDataFrame([(k,) for k in names], "t string")
+    assert {r["t"]: r["x"] for r in df.select("t", jobs.is_person(F.col("t")).alias("x")).collect()} == names
+    cards = [("Ann Lee", "exhibitor summary", "company"), ("Acme Labs 9", "an attendee", "person"), ("Ann Lee", "text", "person"), ("Acme Labs 9", "text", "company"), ("Room 9", None, "unknown"), ("Room 9", "summary only", "unknown")]
+    df = spark.createDataFrame(cards, "first string, t string, want string")
+    assert all(r["want"] == r["got"] for r in df.select("want", jobs.record_kind(F.col("first"), F.col("t"), ["labs"]).alias("got")).collect())
+
+
+def test_triage_like_a_loop(spark):
+    draw = random.Random(4)
+    junk, profile = ["filters", "sort", "menu", "home"], ["director", "attendee", "united states", "growth"]
+    parts = [*junk, *profile, "vp", "search", "some other words", "\n", "\n\n", " ", "x"]
+    rows = [(i, draw.choice([None, " ".join(draw.choice(parts) for _ in range(draw.randrange(12)))]), draw.choice([100, 247, 250]), draw.choice([2, 8]), draw.choice([3, 5, 8]), draw.choice([10, 25, 35])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, raw_text string, gray_mean int, gray_stddev int, edge_mean int, avg_conf int")
+
+    def want(text, mean, deviation, edge, sure):
+        low = (text or "").lower()
+        n, lines = len(low), sum(1 for s in low.split("\n") if s.strip())
+        bad, good = (sum(t in low for t in terms) for terms in (junk, profile))
+        any_ = lambda words: any(w in low for w in words)
+        if mean >= 247 and deviation < 8 and n < 20:
+            return "mostly_white_blank"
+        if n < 12 and sure < 25:
+            return "too_little_text"
+        if any_(jobs.WORDS["listing"]) and bad >= 2 and not good:
+            return "clear_list_or_menu"
+        if bad >= 3 and good <= 1:
+            return "ui_heavy_text"
+        strong = [good >= 3, "united states" in low, any_(jobs.WORDS["role"]), n >= 60, lines >= 3, sure >= 35, edge >= 8]
+        if sum(strong) >= 4 and bad <= 1:
+            return "strong_profile_signals"
+        return "ambiguous_or_partial_profile" if sum([n >= 20, lines >= 2, good >= 1, edge >= 5]) >= 2 else "low_signal"
+
+    got = {r["i"]: r["reason"] for r in jobs.triage(df, junk, profile).collect()}
+    assert got == {i: want(*rest) for i, *rest in rows} and len(set(got.values())) == 7
+
+
+def test_cadence_runs_what_is_due(spark, tmp_path):
+    now, ran = [0.0], []
+    jobs_ = {"fast": cadence.Job(1, lambda: ran.append("fast")), "slow": cadence.Job(3, lambda: ran.append("slow")), "bad": cadence.Job(100, lambda: 1 / 0)}
+    failed = cadence.run(jobs_, 4, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    assert ran == ["fast", "slow", "fast", "fast", "fast", "slow"] and failed == {"fast": [], "slow": [], "bad": ["division by zero"]}
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("a", 1)], "id string, n int").write.parquet(source)
+    stream = lambda: launches.append_log(spark.readStream.schema("id string, n int").parquet(source), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert cadence.run({"log": cadence.Job(1, stream)}, 1) == {"log": []}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_words_are_counted_like_the_array_of_them(spark):
+    from tidewright.functions import text
+
+    rows = ["", "a b", "don't stop-me 12", "\x01 x\x01y", "é a1'b ''", "  "]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert all(r["a"] == r["b"] for r in df.select(text.word_count(F.col("t")).alias("a"), F.size(text.words(F.col("t"))).alias("b")).collect())

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import strings
+
 WRAPPERS = ("records", "data", "items", "results")
 
 
@@ -56,21 +58,53 @@ def flattened(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(flat(F.col(c), df.schema[c].dataType).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns))
 
 
-def payload(html: Column, script_id: str) -> Column:
-    """struct(status, json): the JSON text of a page's script, or what is wrong with the page."""
-    open_ = rf"(?s)<script[^>]*id=\"{script_id}\"[^>]*>"
-    body = F.trim(F.regexp_extract(html, open_ + r"(.*?)</script>", 1))
-    status = (
-        F.when(html.isNull() | (F.trim(html) == ""), "empty page")
-        .when(F.lower(html).contains("sign in to continue"), "login")
-        .when(F.lower(html).contains("<title>not found"), "not found")
-        .when(~html.rlike(open_), "no payload")
-        .when(~html.rlike(open_ + r".*?</script>"), "unclosed payload")
-        .when(body == "", "empty payload")
-        .when(F.try_parse_json(body).isNull(), "bad payload")
-        .otherwise("ok")
+# What a page says that is no record, with the status and message for it, and the messages of what is wrong with a payload.
+LOGIN, LOGIN_BUT, NOT_FOUND, HEAD_CHARS = "sign in", "company", "page not found", 2000
+SAID = {
+    "login": ("auth_expired", "Redirected to login"),
+    "absent": ("not_found", "404"),
+    "none": ("error", "No __NEXT_DATA__ found"),
+    "tag": ("error", "Malformed __NEXT_DATA__ tag"),
+    "open": ("error", "Unclosed __NEXT_DATA__ script"),
+    "empty": ("error", "Empty __NEXT_DATA__ script"),
+    "json": ("error", "JSON parse error"),
+    "record": ("error", "Missing company data in JSON"),
+    "fine": ("success", ""),
+}
+
+
+def payload(html: Column, marker: str = "__NEXT_DATA__", record: str = "$.props.pageProps.data.company") -> Column:
+    """struct(status, error_msg, json): the JSON text of a page's script, or what is wrong with the page.
+
+    The script is the element with the id ``marker``; without one, what follows
+    the tag that the bare marker stands in. ``record`` is the path of an object
+    that the JSON must have. Null is the empty page.
+    """
+    page = F.coalesce(html, F.lit(""))
+    head = F.lower(F.substring(page, 1, HEAD_CHARS))
+    element = rf"(?s)<script[^>]*id=[\"']{marker}[\"'][^>]*>(.*)"
+    tagged, marked = page.rlike(element), page.contains(marker)
+    bare = F.regexp_extract(page, rf"(?s)^.*?{marker}(.*)", 1)
+    # All but the last of these are what is left of the page behind the tag.
+    rest = F.when(tagged, F.regexp_extract(page, element, 1)).when(marked & bare.contains(">"), F.regexp_extract(bare, "(?s)^[^>]*>(.*)", 1))
+    body = strings.stripped(F.regexp_extract(rest, "(?s)^(.*?)</script>", 1))
+    found = F.transform(F.array(F.struct(rest.alias("rest"), body.alias("body"))), lambda x: _judged(head, tagged, marked, x["rest"], x["body"], record))
+    return found[0]
+
+
+def _judged(head: Column, tagged: Column, marked: Column, rest: Column, body: Column, record: str) -> Column:
+    say = lambda what: F.struct(F.lit(SAID[what][0]).alias("status"), F.lit(SAID[what][1]).alias("error_msg"), (body if what == "fine" else F.lit(None).cast("string")).alias("json"))
+    return (
+        F.when(head.contains(LOGIN) & ~head.contains(LOGIN_BUT), say("login"))
+        .when(head.contains(NOT_FOUND), say("absent"))
+        .when(~tagged & ~marked, say("none"))
+        .when(rest.isNull(), say("tag"))
+        .when(~rest.contains("</script>"), say("open"))
+        .when(body == "", say("empty"))
+        .when(F.try_parse_json(body).isNull(), say("json"))
+        .when(~F.coalesce(F.get_json_object(body, record).startswith("{"), F.lit(False)), say("record"))
+        .otherwise(say("fine"))
     )
-    return F.struct(status.alias("status"), F.when(status == "ok", body).alias("json"))
 
 
 def fields(json: Column, paths: dict[str, str]) -> list[Column]:
@@ -88,9 +122,14 @@ def url_key(url: Column, canonical: str | None = None, path_prefix: str = "/comp
     return F.concat(F.lit("https://"), host, path)
 
 
+# Fixed value: what lines don't begin or end with.
+LINE_ENDS = " ,.-"
+
+
 def clean_lines(lines: Column) -> Column:
     """Lines without leading signs, spaces collapsed and ends trimmed; empty ones go."""
-    tidy = F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "^[^A-Za-z0-9]+", ""), r"\s+", " "), "^[ ,.'-]+|[ ,.'-]+$", ""))
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, "^[^A-Za-z0-9]+", ""), r"\s+", " ")
+    tidy = F.transform(lines, lambda s: F.btrim(bare(s), F.lit(LINE_ENDS)))
     return F.filter(tidy, lambda s: s != "")
 
 

@@ -8,11 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The legal forms that are no part of a company's name, as patterns.
-LEGAL_FORMS = (
-    "inc", "incorporated", "llc", r"l\.l\.c", "ltd", "limited", "corp", "corporation", "co", "gmbh",
-    "ag", r"s\.?a\.?", r"s\.?r\.?l", r"b\.?v", "plc", "pty", "kg", " aps", "oy", "ab",
-)
+# Fixed value: the legal forms that are no part of a company's name, as one pattern.
+LEGAL_FORMS = r"inc|incorporated|llc|l\.l\.c|ltd|limited|corp|corporation|co|gmbh|ag|s\.?a\.?|s\.?r\.?l|b\.?v|plc|pty|kg| aps|oy|ab"
 
 
 def email_domain(email: Column) -> Column:
@@ -20,9 +17,9 @@ def email_domain(email: Column) -> Column:
     return F.substring_index(email, "@", -1)
 
 
-def company_key(name: Column, forms: Sequence[str] = LEGAL_FORMS) -> Column:
+def company_key(name: Column, forms: str = LEGAL_FORMS) -> Column:
     """Lower-case words without legal forms; other characters are spaces. Null is empty."""
-    bare = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), rf"\b(?:{'|'.join(forms)})\b\.?", " ")
+    bare = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), rf"\b(?:{forms})\b\.?", " ")
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
@@ -106,10 +103,19 @@ def coerced(value: Column, allowed: Sequence[str], otherwise: str = "unknown") -
     return F.when(value.isin(*allowed), value).otherwise(F.lit(otherwise))
 
 
-def clean_text(value: Column) -> Column:
-    """Form feeds as line ends, runs of blanks and of line ends collapsed, quotes and brackets gone."""
-    v = F.translate(F.regexp_replace(value, "\f", "\n"), "\"'[]{}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(v, "[ \t]+", " "), "\n{2,}", "\n"))
+#: The signs that scanned text is cleaned of.
+SCAN_SIGNS = "‘’“”©@[]()>»_"
+
+
+def clean_text(value: Column, signs: str = SCAN_SIGNS) -> Column:
+    """Form feeds as blanks, ``signs`` gone, runs of blanks and of line ends collapsed, ends trimmed."""
+    v = F.translate(F.regexp_replace(value, "\f", " "), signs, "")
+    return stripped(F.regexp_replace(F.regexp_replace(v, "[ \t]+", " "), "\n{2,}", "\n"))
+
+
+def stripped(value: Column | str, signs: str = r"\s") -> Column:
+    """Without any of ``signs`` (as in a character class) at both ends."""
+    return F.regexp_replace(value, f"^[{signs}]+|[{signs}]+$", "")
 
 
 def arguments(text: Column, zone: str, days: int, most_days: int) -> Column:

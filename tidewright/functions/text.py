@@ -32,15 +32,28 @@ def per_thousand(count: Column, total: Column) -> Column:
 
 
 def spread(lengths: Column, least: int = 3) -> Column:
-    """Population deviation by mean of an array of numbers; null for fewer than ``least`` or mean 0."""
-    n = F.size(lengths).cast("double")
-    mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / F.greatest(n, F.lit(1.0))
-    square = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x * x) / F.greatest(n, F.lit(1.0))
-    return F.when((n >= least) & (mean > 0), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))) / mean)
+    """Population deviation by mean of an array of numbers; null for fewer than ``least`` or mean 0.
+
+    The array is read once, for its count, sum and sum of squares.
+    """
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("square"))
+    add = lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["sum"] + x).alias("sum"), (a["square"] + x * x).alias("square"))
+
+    def of(a: Column) -> Column:
+        mean = a["sum"] / a["n"]
+        return F.when((a["n"] >= least) & (a["sum"] > 0), F.sqrt(F.greatest(a["square"] / a["n"] - mean * mean, F.lit(0.0))) / mean)
+
+    return F.aggregate(lengths, zero, add, of)
+
+
+def word_count(text: Column) -> Column:
+    """How many words a text has: each becomes a mark, and all but the marks go."""
+    marked = F.regexp_replace(F.translate(text, "\x01", " "), "[A-Za-z0-9']+", "\x01")
+    return F.char_length(F.regexp_replace(marked, "[^\x01]+", ""))
 
 
 def word_counts(parts: Column) -> Column:
-    return F.transform(parts, lambda s: F.size(words(s)).cast("double"))
+    return F.transform(parts, lambda s: word_count(s).cast("double"))
 
 
 def phrase_hits(drafts: DataFrame, key: str, text: str, phrases: Sequence[str]) -> DataFrame:

@@ -42,33 +42,33 @@ def match_alias(signed: DataFrame, email: str, name: str, aliases: DataFrame) ->
     return spread.join(aliases, ["kind", "alias"]).drop("kind", "alias")
 
 
-def spine(grains: Sequence[DataFrame], key: str, zero: Sequence[str] = (), null_safe: bool = False) -> DataFrame:
-    """All keys of several grains, each grain joined on, missing counts as zero.
+def spine(grains: Sequence[DataFrame], key: str, zero: Sequence[str] = ()) -> DataFrame:
+    """All keys of several grains with the columns of each, missing counts as zero.
 
-    With ``null_safe`` the null key is a key like any other. Both sides of each
-    join are grouped by the key already, so Spark can reuse that partitioning.
+    A key is in a grain once. The grains are laid below each other and grouped
+    once, so each is planned once, and the null key is a key like any other.
     """
-    keys = reduce(DataFrame.unionByName, [g.select(key) for g in grains]).distinct()
-    out = keys
-    for i, grain in enumerate(grains):
-        side = grain.withColumnRenamed(key, f"__k{i}")
-        same = out[key].eqNullSafe(side[f"__k{i}"]) if null_safe else out[key] == side[f"__k{i}"]
-        out = out.join(side, same, "left").drop(f"__k{i}")
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), grains)
+    names = list(dict.fromkeys(c for g in grains for c in g.columns if c != key))
+    out = both.groupBy(key).agg(*(F.max(c).alias(c) for c in names))
     return out.fillna(0, subset=list(zero)) if zero else out
 
 
 def longest_prefix(df: DataFrame, code: str, prefixes: DataFrame, excluded: DataFrame, out: str = "label") -> DataFrame:
     """``df`` with the label of the longest matching prefix; excluded prefixes veto.
 
-    ``prefixes`` is (prefix, label). The code is cut to every length that any
-    prefix has and joined by equality.
+    ``prefixes`` is (prefix, label). Each different code is cut to the lengths
+    that prefixes have and joined by equality; a null code has no label.
     """
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(code), F.lit(1))), lambda n: F.substring(F.col(code), F.lit(1), n))
-    spread = rows.select("__row", F.explode(cuts).alias("prefix"))
-    label = spread.join(prefixes, "prefix").groupBy("__row").agg(F.max_by("label", F.length("prefix")).alias(out))
-    vetoed = spread.join(excluded, "prefix", "left_semi").select("__row").distinct()
-    return rows.join(label, "__row", "left").join(vetoed.withColumn("__no", F.lit(True)), "__row", "left").withColumn(out, F.when(F.col("__no").isNull(), F.col(out))).drop("__row", "__no")
+    every = prefixes.select("prefix").union(excluded.select("prefix"))
+    lengths = every.agg(F.coalesce(F.collect_set(F.length("prefix")), F.array().cast("array<int>")).alias("__n"))
+    codes = df.select(F.col(code).alias("__code")).filter("__code IS NOT NULL").distinct().crossJoin(F.broadcast(lengths))
+    cuts = F.transform(F.filter("__n", lambda n: n <= F.length("__code")), lambda n: F.substring(F.col("__code"), F.lit(1), n))
+    spread = codes.select("__code", F.explode(cuts).alias("prefix"))
+    label = spread.join(prefixes, "prefix").groupBy("__code").agg(F.max_by("label", F.length("prefix")).alias(out))
+    vetoed = spread.join(excluded, "prefix", "left_semi").select("__code").distinct()
+    label = label.join(vetoed, "__code", "left_anti")
+    return df.join(label, F.col(code) == F.col("__code"), "left").drop("__code")
 
 
 def lookup(df: DataFrame, side: DataFrame, on: str, value: str, default: Column | str) -> DataFrame:

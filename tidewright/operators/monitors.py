@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.times import number
@@ -76,3 +76,18 @@ def outcome(load: Callable[[], DataFrame]) -> tuple[str, DataFrame | None, str]:
         return kind, None, str(error).splitlines()[0]
     except PySparkException as error:
         return "error", None, str(error).splitlines()[0]
+
+
+def outcomes(spark: SparkSession, loads: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(source, kind, rows): the outcome of each load and how many rows it has, null without data."""
+    found = []
+    for name, load in loads.items():
+        kind, rows, _ = outcome(load)
+        found.append((name, kind, rows.count() if rows is not None else None))
+    return spark.createDataFrame(found, "source string, kind string, rows long")
+
+
+def machine_share(written: Column | str, assisted: Column | str) -> Column:
+    """What a detector counts as written by a machine: its own share and the assisted one, null as none."""
+    share = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0))
+    return share(written) + share(assisted)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,38 @@ class RuleSet:
         return out.otherwise(self._label(self.otherwise))
 
 
+#: Kinds of test that a row of a rule table may name; the others than pattern take one token a row.
+TESTS = ("anywhere", "words", "starts", "ends", "exact", "pattern")
+
+
+def rule_set(rows: DataFrame, otherwise=None, fields: Sequence[str] = (), most: int = 20_000) -> RuleSet:
+    """The rules of a table (rank, test, token and the label, or a column for each of ``fields``), in order of rank.
+
+    Rows of one rank are one rule: any of their tokens is enough, and they
+    have one label; null labels end the cascade. A table of more than ``most``
+    rows, an unknown test and a rank with two labels or patterns are refused.
+    """
+    names = list(fields) or ["label"]
+    found = rows.select("rank", "test", "token", *names).orderBy("rank", "test", "token").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules")
+    by_rank: dict = {}
+    for r in found:
+        if r["test"] not in TESTS:
+            raise ValueError(f"no such test: {r['test']}")
+        by_rank.setdefault(r["rank"], []).append(r)
+    rules = []
+    for rank, some in by_rank.items():
+        labels = {tuple(r[n] for n in names) for r in some}
+        tokens = {t: [r["token"] for r in some if r["test"] == t] for t in TESTS}
+        if len(labels) > 1 or len(tokens["pattern"]) > 1:
+            raise ValueError(f"rank {rank} has two labels or patterns")
+        label = labels.pop()
+        tests = {t: [x.lower() for x in v] for t, v in tokens.items() if t != "pattern"} | {"pattern": next(iter(tokens["pattern"]), None)}
+        rules.append(Rule((None if label == (None,) * len(names) else label) if fields else label[0], **tests))
+    return RuleSet(rules, otherwise, fields)
+
+
 def cascade(*labels: Column) -> Column:
     """The first source that answers."""
     return F.coalesce(*labels)

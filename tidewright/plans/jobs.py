@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import strings, times
 from tidewright.operators import joins
-from tidewright.operators.rules import Rule, RuleSet, hits, points
+from tidewright.operators.rules import Rule, RuleSet, cascade, hits, points
 
 # Prefixes of shared inboxes, and the rank of company types.
 GENERIC_INBOXES = ("info", "admin", "contact", "hello", "office", "team", "production", "productions", "general", "mail", "inquiries", "enquiry", "enquiries")
 TYPE_RANK = ("production_company", "project_specific_entity_or_spv", "sales_or_finance_company", "studio_or_network", "agency_or_management", "unknown")
 PRIMARY = "primary_listing_entity"
+# Fixed value: the country of a filing that gives none.
+HOME = "US"
 
 
 def companies(filings: DataFrame, prefixes: DataFrame, excluded: DataFrame, since) -> DataFrame:
@@ -22,8 +24,9 @@ def companies(filings: DataFrame, prefixes: DataFrame, excluded: DataFrame, sinc
 
     ``filings`` has ord, applicant, device, decision_code, decided, product_code,
     country, regulation. First-seen values follow ``ord``; of countries the
-    most frequent counts, the first seen among equals. Companies without a
-    filing since ``since`` are left out.
+    most frequent counts, upper-cased and ``HOME`` where none is given, the first
+    seen among equals. The companies come by their lifetime count, the highest
+    first; those without a filing since ``since`` are left out.
     """
     cleared = filings.filter(F.upper("decision_code").startswith("SE")).withColumn("key", strings.company_key(F.col("applicant"))).filter("key <> ''")
     lifetime = cleared.groupBy("key").agg(F.count(F.lit(1)).alias("lifetime"))
@@ -38,69 +41,87 @@ def companies(filings: DataFrame, prefixes: DataFrame, excluded: DataFrame, sinc
         F.max("day").alias("last_filing"),
         F.min_by(device, F.when(device.isNotNull(), F.col("ord"))).alias("sample_device"),
     )
-    per_country = scope.groupBy("key", F.coalesce("country", F.lit("")).alias("country")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    per_country = scope.groupBy("key", F.coalesce(F.nullif(F.upper(strings.stripped("country")), F.lit("")), F.lit(HOME)).alias("country")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
     country = per_country.groupBy("key").agg(F.max_by("country", F.struct("n", -F.col("first"))).alias("country"))
-    return rows.join(country, "key").join(lifetime, "key").filter(F.col("last_filing") >= since)
+    return rows.join(country, "key").join(lifetime, "key").filter(F.col("last_filing") >= since).orderBy(F.desc("lifetime"), "key")
+
+
+# How captures are sorted. A reject is decided by bounds that all hold, the first that fits;
+# then points are counted, one for each measure that reaches its bound.
+REJECTS = {
+    "mostly_white_blank": "gray_mean >= 247 AND gray_stddev < 8 AND chars < 20",
+    "too_little_text": "chars < 12 AND avg_conf < 25",
+    "clear_list_or_menu": "listing = 1 AND junk >= 2 AND profile = 0",
+    "ui_heavy_text": "junk >= 3 AND profile <= 1",
+}
+STRONG = {"profile": 3, "place": 1, "role": 1, "chars": 60, "lines": 3, "avg_conf": 35, "edge_mean": 8}
+WEAK = {"chars": 20, "lines": 2, "profile": 1, "edge_mean": 5}
+OUTCOMES = (("keep", "strong_profile_signals"), ("review", "ambiguous_or_partial_profile"), ("junk", "low_signal"))
+LEAST_STRONG, MOST_JUNK, LEAST_WEAK = 4, 1, 2
+WORDS = {
+    "place": ("united states",),
+    "role": ("director", "manager", "chief", "vice president", "vp", "attendee", "representative"),
+    "listing": ("all attendees", "filters", "sort", "search"),
+}
+
+
+def measures(text: Column, terms: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """What triage asks of a text: its size, terms held of each list, and 1 or 0 for each list of ``WORDS``."""
+    lines = F.filter(F.split(text, "\n"), lambda s: strings.stripped(s) != "")
+    sizes = {"chars": F.char_length(text), "lines": F.size(lines)}
+    held = {n: hits(text, t) for n, t in terms.items()}
+    return sizes | held | {n: F.least(hits(text, w), F.lit(1)) for n, w in WORDS.items()}
 
 
 def triage(captures: DataFrame, junk_terms: Sequence[str], profile_terms: Sequence[str]) -> DataFrame:
-    """Captures with (bucket, reason): hard rejects, then strong signals, then weak ones."""
-    text = F.coalesce("raw_text", F.lit(""))
-    low = F.lower(text)
-    any_ = lambda *terms: low.rlike("|".join(terms))
-    junk, profile = hits(text, junk_terms), hits(text, profile_terms)
-    chars = F.char_length(text)
-    lines = F.size(F.filter(F.split(text, "\n"), lambda s: F.trim(s) != ""))
-    mean, deviation, edge, sure = (F.col(c) for c in ("gray_mean", "gray_stddev", "edge_mean", "avg_conf"))
-    listing = any_("all attendees", "filters", "sort", "search")
-    strong = points(
-        profile >= 3, low.contains("united states"), any_("director", "manager", "chief", "vice president", "vp", "attendee", "representative"), chars >= 60, lines >= 3, sure >= 35, edge >= 8
-    )
-    weak = points(chars >= 20, lines >= 2, profile >= 1, edge >= 5)
+    """Captures with (bucket, reason): hard rejects, then enough strong points and little junk, then enough weak points."""
+    measured = captures.select(F.struct(*captures.columns).alias("row"), "gray_mean", "gray_stddev", "edge_mean", "avg_conf", F.coalesce("raw_text", F.lit("")).alias("text"))
+    measured = measured.withColumns(measures(F.col("text"), {"junk": junk_terms, "profile": profile_terms}))
+    score = lambda table: points(*(F.col(c) >= least for c, least in table.items()))
     say = lambda bucket, reason: F.struct(F.lit(bucket).alias("bucket"), F.lit(reason).alias("reason"))
-    verdict = (
-        F.when((mean >= 247) & (deviation < 8) & (chars < 20), say("junk", "blank"))
-        .when((chars < 12) & (sure < 25), say("junk", "too little text"))
-        .when(listing & (junk >= 2) & (profile == 0), say("junk", "list or menu"))
-        .when((junk >= 3) & (profile <= 1), say("junk", "interface text"))
-        .when((strong >= 4) & (junk <= 1), say("keep", "strong signals"))
-        .when(weak >= 2, say("review", "mixed signals"))
-        .otherwise(say("junk", "few signals"))
-    )
-    return captures.withColumn("v", verdict).select(*captures.columns, "v.bucket", "v.reason")
+    rejected = F.coalesce(*(F.when(F.expr(test), say("junk", reason)) for reason, test in REJECTS.items()))
+    keep, review, rest = (say(*o) for o in OUTCOMES)
+    scored = F.when((score(STRONG) >= LEAST_STRONG) & (F.col("junk") <= MOST_JUNK), keep).when(score(WEAK) >= LEAST_WEAK, review).otherwise(rest)
+    return measured.withColumn("v", F.coalesce(rejected, scored)).select("row.*", "v.bucket", "v.reason")
 
 
+# The words by which a captured card is told to be a person's, a company's or a place.
 SUBTYPE = RuleSet(
     [Rule("contributor", anywhere=["contributor at"]), Rule("representative", anywhere=["representative"]), Rule("attendee", anywhere=["attendee"]), Rule("exhibitor", anywhere=["exhibitor"])], "unknown"
 )
+COMPANY_CARD = Rule("company", pattern="(?s)(?=.*exhibitor).*(?:representatives|summary)")
+PEOPLE = ("contributor", "attendee", "representative")
+HEADINGS = ("attendee", "representative", "exhibitor", "summary", "designations", "topics")
+PLACES = RuleSet([Rule("place", anywhere=["united states", "france"])])
+BOOTHS = (r"(?i)find me at\s*([A-Za-z0-9-]+)", r"(?i)\bbooth[:\s#-]*([A-Za-z0-9-]+)\b")
+MOST_NAME_WORDS, NAME_WORD = 5, "^[A-Za-z.'-]+$"
 
 
-def is_location(line: Column, places: Sequence[str] = ("united states", "france")) -> Column:
-    return F.lower(line).rlike("|".join(places))
+def is_location(line: Column, places: RuleSet = PLACES) -> Column:
+    return places.on(line).isNotNull()
 
 
-def is_person(line: Column, bad: Sequence[str] = ("attendee", "representative", "exhibitor", "summary", "designations", "topics")) -> Column:
-    """One to five words of letters, points, apostrophes and hyphens, none of them a heading."""
-    return line.rlike(r"^[A-Za-z.'-]+(?:\s+[A-Za-z.'-]+){0,4}$") & ~F.lower(line).rlike(rf"(?:^|\s)(?:{'|'.join(bad)})(?:\s|$)")
+def is_person(line: Column, headings: Sequence[str] = HEADINGS) -> Column:
+    """A few words of letters, points, apostrophes and hyphens, none of them a heading."""
+    words = F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+    fits = F.forall(words, lambda w: w.rlike(NAME_WORD) & ~w.isin(*headings))
+    return F.coalesce(F.size(words).between(1, MOST_NAME_WORDS) & fits, F.lit(False))
 
 
 def is_organisation(line: Column, hints: Sequence[str]) -> Column:
-    return F.lower(line).rlike("|".join(hints))
+    return hits(line, hints) > 0
 
 
 def booth(text: Column) -> Column:
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"(?i)find me at\s*([A-Za-z0-9-]+)", r"(?i)\bbooth[:\s#-]*([A-Za-z0-9-]+)\b")), F.lit(""))
+    return F.coalesce(strings.first_match(text, BOOTHS), F.lit(""))
 
 
 def record_kind(first: Column, text: Column, hints: Sequence[str]) -> Column:
-    low, subtype = F.lower(text), SUBTYPE.on(text)
-    return (
-        F.when(low.rlike("representatives|summary") & low.contains("exhibitor"), "company")
-        .when(subtype.isin("contributor", "attendee", "representative"), "person")
-        .when(is_person(first), "person")
-        .when(is_organisation(first, hints), "company")
-        .otherwise("unknown")
-    )
+    """company, person or unknown: by the card's words, its subtype, then its first line."""
+    by_card = F.when(COMPANY_CARD.test(F.lower(F.coalesce(text, F.lit("")))), COMPANY_CARD.label)
+    by_subtype = F.when(SUBTYPE.on(text).isin(*PEOPLE), "person")
+    by_line = F.when(is_person(first), "person").when(is_organisation(first, hints), "company")
+    return cascade(by_card, by_subtype, by_line, F.lit("unknown"))
 
 
 def title_and_company(lines: Column) -> Column:

@@ -39,7 +39,7 @@ def headline(t: Funnel, start: str, end: str) -> DataFrame:
     sent = _campaigns(t, start, end).agg(A.total("sent_count").alias("sent"), A.total("replied_count").alias("replied"))
     threads = _threads(t, start, end).filter(A.known("lead_email"))
     leads = threads.agg(A.distinct_if("lead_email", F.col("is_positive")).alias("positives"), A.distinct_if("lead_email", F.col("is_call_booked")).alias("meetings"))
-    won = _won(t, start, end).agg(F.count(F.lit(1)).alias("closed_won"), F.round(A.total("amount"), 2).alias("closed_won_amount"))
+    won = _won(t, start, end).agg(F.count(F.lit(1)).alias("closed_won"), A.total("amount").alias("closed_won_amount"))
     return sent.crossJoin(leads).crossJoin(won).withColumns({"window_start": F.lit(start), "window_end": F.lit(end)})
 
 
@@ -58,7 +58,7 @@ def per_rep_mpc(t: Funnel, start: str, end: str) -> DataFrame:
         )
     )
     won = _won(t, start, end).filter(F.col("campaign_is_mpc") & A.known("attributed_rep"))
-    deals = won.groupBy(F.col("attributed_rep").alias("rep_key")).agg(F.count(F.lit(1)).alias("closed_won"), F.round(A.total("amount"), 2).alias("won_amount"))
+    deals = won.groupBy(F.col("attributed_rep").alias("rep_key")).agg(F.count(F.lit(1)).alias("closed_won"), A.total("amount").alias("won_amount"))
     counts = ["sent", "replied", "positives", "mpc_meetings", "total_meetings", "closed_won", "won_amount"]
     out = joins.spine([sent, threads, deals], "rep_key", counts)
     # A booked call of a flagged campaign is that rep's meeting.
@@ -72,10 +72,10 @@ def per_rep_nonmpc(t: Funnel, start: str, end: str) -> DataFrame:
     won = A.flag("is_closed_won")
     lost = F.lower(F.coalesce("stage_label", F.lit(""))).contains("lost")
     deals = deals.groupBy(F.col("attributed_rep").alias("rep_key")).agg(
-        A.count_if(won).alias("closed_won"), F.round(A.sum_if("amount", won), 2).alias("won_amount"), A.count_if(~won & ~lost).alias("active_pipeline"), F.count(F.lit(1)).alias("total")
+        A.count_if(won).alias("closed_won"), A.sum_if("amount", won).alias("won_amount"), A.count_if(~won & ~lost).alias("active_pipeline"), F.count(F.lit(1)).alias("total")
     )
     counts = ["threads", "positives", "calls", "closed_won", "won_amount", "active_pipeline", "total"]
-    out = joins.spine([threads, deals], "rep_key", counts).withColumn("close_rate", F.round(A.ratio("closed_won", "total"), 6))
+    out = joins.spine([threads, deals], "rep_key", counts).withColumn("close_rate", A.ratio("closed_won", "total"))
     return out.drop("total").orderBy(F.desc("positives"), "rep_key")
 
 
@@ -123,10 +123,10 @@ def cohort_summary(t: Funnel, start: str, end: str) -> DataFrame:
     campaigns = campaigns.agg(F.count(F.lit(1)).alias("campaigns"), A.total("sent_count").alias("sent"), A.total("replied_count").alias("replied"))
     threads = _threads(t, start, end).groupBy(A.flag("campaign_is_mpc").alias("is_mpc"))
     threads = threads.agg(A.distinct_if("lead_email", F.col("is_positive") & A.known("lead_email")).alias("positives"), A.distinct_if("conv_id", F.col("is_call_booked")).alias("calls"))
-    won = _won(t, start, end).groupBy(A.flag("campaign_is_mpc").alias("is_mpc")).agg(F.count(F.lit(1)).alias("closed_won"), F.round(A.total("amount"), 2).alias("revenue"))
+    won = _won(t, start, end).groupBy(A.flag("campaign_is_mpc").alias("is_mpc")).agg(F.count(F.lit(1)).alias("closed_won"), A.total("amount").alias("revenue"))
     counts = ["campaigns", "sent", "replied", "positives", "calls", "closed_won", "revenue"]
     out = cohorts.join(campaigns, "is_mpc", "left").join(threads, "is_mpc", "left").join(won, "is_mpc", "left").fillna(0, subset=counts)
-    return out.select("cohort", *counts, F.round(A.ratio("replied", "sent"), 6).alias("reply_rate"), F.round(A.ratio("calls", "positives"), 6).alias("meeting_to_positive"))
+    return out.select("cohort", *counts, A.ratio("replied", "sent").alias("reply_rate"), A.ratio("calls", "positives").alias("meeting_to_positive"))
 
 
 def candidates(t: Funnel, start: str, end: str) -> DataFrame:
@@ -141,7 +141,7 @@ def candidates(t: Funnel, start: str, end: str) -> DataFrame:
     industry = V.per_candidate(t).select("candidate", "industry")
     counts = ["campaigns", "sent", "replied", "positives", "calls"]
     out = joins.spine([campaigns, funnel], "candidate", counts).join(partner, "candidate", "left").join(industry, "candidate", "left")
-    return out.withColumn("pos_rate", F.round(A.ratio("positives", "sent"), 6)).orderBy(F.desc("positives"), "candidate")
+    return out.withColumn("pos_rate", A.ratio("positives", "sent")).orderBy(F.desc("positives"), "candidate")
 
 
 def snapshot_delta(t: Funnel, day: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewright.functions import records, strings, text, times
-from tidewright.operators import monitors, names, slots
+from tidewright.operators import joins, monitors, names, slots
 from tidewright.operators import aggs as A
 from tidewright.operators.rules import Rule, RuleSet, cascade, hits
 from tidewright.sources import files
@@ -38,8 +38,8 @@ query(
     """SELECT p_partkey, (a = 'blues' OR (length(a) >= 3 AND starts_with('blues', a)) OR starts_with(a, 'blues') OR levenshtein(a, 'blues') <= 1) AS alike FROM (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS a FROM part)""",
 )(lambda t: t["part"].select("p_partkey", strings.alike_names(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("Blues")).alias("alike")))
 
-_ROSTER = ["Andre Cole", "Carol Dane", "Marc Dane", "Owen Lake", "Owen Ray"]
-_SPELT = {0: ("andre cole", "Andre Cole"), 1: ("Carol", "Carol Dane"), 2: ("Mark Dane", "Marc Dane"), 3: ("Owen", "Owen"), 4: ("Carole Dane", "Carol Dane"), 5: ("Zed", "Zed"), 6: ("Andr Cole", "Andre Cole"), 7: ("Max Power", "Max Power")}
+_ROSTER = ["Torven Askel", "Brisa Dunmore", "Jorik Dunmore", "Ulfa Lind", "Ulfa Rooke"]
+_SPELT = {0: ("torven askel", "Torven Askel"), 1: ("Brisa", "Brisa Dunmore"), 2: ("Jorin Dunmore", "Jorik Dunmore"), 3: ("Ulfa", "Ulfa"), 4: ("Brisan Dunmore", "Brisa Dunmore"), 5: ("Zed", "Zed"), 6: ("Torve Askel", "Torven Askel"), 7: ("Kip Stroud", "Kip Stroud")}
 
 
 def _cases(column: str, which: int) -> str:
@@ -131,14 +131,27 @@ query("f18_mapped_code", "SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE'
 
 query("f19_json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS string) AS other FROM events")(lambda t: t["events"].select("event_id", *records.fields(F.col("props"), {"k": "$.k", "other": "$.other.deep"})))
 
-_PAGE = """CASE page_id % 8 WHEN 0 THEN '' WHEN 1 THEN '<p>Sign in to continue</p>' WHEN 2 THEN '<title>Not found</title>' WHEN 3 THEN '<script>x</script>'
-    WHEN 4 THEN '<script id="__DATA__" type="x">{"a": 1}' WHEN 5 THEN '<script id="__DATA__">  </script>' WHEN 6 THEN '<script id="__DATA__">{"a": </script>' ELSE '<script id="__DATA__">{"a": ' || cast(page_id AS string) || '}</script>' END"""
-query(
-    "f20_payload",
-    """SELECT page_id, list_extract(['empty page', 'login', 'not found', 'no payload', 'unclosed payload', 'empty payload', 'bad payload', 'ok'], cast(page_id % 8 + 1 AS int)) AS status,
-        CASE WHEN page_id % 8 = 7 THEN cast(page_id AS string) END AS a FROM pages""",
-)(
-    lambda t: t["pages"].withColumn("p", records.payload(F.expr(_PAGE), "__DATA__")).select("page_id", "p.status", F.get_json_object("p.json", "$.a").alias("a"))
+#: Pages and what is wrong with each.
+_PAGES = [
+    ("", "error", "No __NEXT_DATA__ found"),
+    ("<p>Sign in to continue</p>", "auth_expired", "Redirected to login"),
+    ("<p>Sign in</p> a Company <title>Page not found</title>", "not_found", "404"),
+    ("<script>x</script>", "error", "No __NEXT_DATA__ found"),
+    ("window.__NEXT_DATA__ = 1", "error", "Malformed __NEXT_DATA__ tag"),
+    ('<script id="__NEXT_DATA__" type="x">{"props": 1}', "error", "Unclosed __NEXT_DATA__ script"),
+    ('<script id="__NEXT_DATA__"> \n </script>', "error", "Empty __NEXT_DATA__ script"),
+    ('<script id="__NEXT_DATA__">{"a": </script>', "error", "JSON parse error"),
+    ('<script id="__NEXT_DATA__">{"props": {"pageProps": {"data": null}}}</script>', "error", "Missing company data in JSON"),
+    ('<script id="__NEXT_DATA__">{"props": {"pageProps": {"data": {"company": "x"}}}}</script>', "error", "Missing company data in JSON"),
+    ("<script type='x' id='__NEXT_DATA__'> {\"props\": {\"pageProps\": {\"data\": {\"company\": {\"id\": 7}}}}} </script>", "success", ""),
+    ('<i>__NEXT_DATA__</i><script id="__NEXT_DATA__">{"props": {"pageProps": {"data": {"company": {"id": 7}}}}}</script>', "success", ""),
+    ('<div data-id=__NEXT_DATA__>{"props": {"pageProps": {"data": {"company": {"id": 7}}}}}</script>', "success", ""),
+]
+_SAID = ", ".join(f"({k}, '{status}', '{message}')" for k, (_, status, message) in enumerate(_PAGES))
+query("f20_payload", f"SELECT page_id, status, error_msg, CASE WHEN status = 'success' THEN '7' END AS id FROM pages JOIN (VALUES {_SAID}) v(k, status, error_msg) ON k = page_id % {len(_PAGES)}")(
+    lambda t: t["pages"]
+    .withColumn("p", records.payload(F.element_at(F.array(*(F.lit(p[0]) for p in _PAGES)), (F.col("page_id") % len(_PAGES) + 1).cast("int"))))
+    .select("page_id", "p.status", "p.error_msg", F.get_json_object("p.json", "$.props.pageProps.data.company.id").alias("id"))
 )
 
 query(
@@ -163,7 +176,7 @@ query(
 )(
     lambda t: t["documents"].select(
         "doc_id",
-        F.round(text.per_thousand(F.length("text") - F.length(F.replace("text", F.lit(","), F.lit(""))), F.size(text.words(F.col("text")))), 4).alias("commas"),
+        F.round(text.per_thousand(F.length("text") - F.length(F.replace("text", F.lit(","), F.lit(""))), text.word_count(F.col("text"))), 4).alias("commas"),
         F.round(text.spread(F.filter(text.word_counts(F.split("text", "\n")), lambda n: n > 0)), 4).alias("spread"),
     )
 )
@@ -244,7 +257,7 @@ query("f34_placeholders", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' W
     lambda t: t["part"].select("p_partkey", strings.placeholder_to_blank(F.expr("CASE p_partkey % 3 WHEN 0 THEN ' N/A ' WHEN 1 THEN '[' || p_name || '] |  x' END")).alias("cell"))
 )
 
-_PEOPLE = [("R. Scott Gemmill", "R. Scott", "Gemmill"), ("Robert Guza Jr.", "Robert", "Guza Jr."), ("Cher", "", "Cher"), ("Ann  Lee", "Ann", "Lee"), ("Hal Cole III", "Hal", "Cole III")]
+_PEOPLE = [("T. Orin Veldt", "T. Orin", "Veldt"), ("Halvor Quist Jr.", "Halvor", "Quist Jr."), ("Ysolde", "", "Ysolde"), ("Mira  Tolk", "Mira", "Tolk"), ("Per Ost III", "Per", "Ost III")]
 query("f35_split_name", f"SELECT p_partkey, f AS first, l AS last FROM part JOIN (VALUES {', '.join(str((k, *p)) for k, p in enumerate(_PEOPLE))}) v(k, raw, f, l) ON k = p_partkey % {len(_PEOPLE)}")(
     lambda t: t["part"].withColumn("n", strings.split_name(F.element_at(F.array(*(F.lit(p[0]) for p in _PEOPLE)), (F.col("p_partkey") % len(_PEOPLE) + 1).cast("int")))).select("p_partkey", "n.*")
 )
@@ -281,15 +294,23 @@ query(
 )(lambda t: t["customer"].select("c_custkey", cascade(INDUSTRY.on(F.col("c_mktsegment")), DOMAIN.on(strings.email_domain(F.expr(_HOUSE)))).alias("industry")))
 
 _JUNK, _PROFILE = ["filters", "sort", "menu"], ["director", "attendee", "summary", "topics"]
-_CAPTURE = "CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Menu Filters Sort' WHEN 2 THEN 'Ann Lee\nDirector\nAttendee summary topics\nUnited States of somewhere far' WHEN 3 THEN 'a line\nand another line here' WHEN 4 THEN 'menu filters sort attendee' ELSE 'tiny' END"
+_TEXTS = ["", "Menu Filters Sort", "Ann Lee\nDirector\nAttendee summary topics\nUnited States of somewhere far", "a line\nand another line here", "menu filters sort attendee", "tiny", "filters and sort of a director", "Director topics\nattendee in a hall with many people and a long text"]
+_CAPTURED = "o_orderkey, o_custkey % 7 * 40 + 20 AS gray_mean, o_orderkey % 3 * 5 AS gray_stddev, o_custkey % 5 * 3 AS edge_mean, o_orderkey % 11 * 5 AS avg_conf"
+_HOLDS = lambda words: " + ".join(f"contains(low, '{w}')::int" for w in words)
 query(
     "r07_triage",
-    """SELECT o_orderkey, CASE k WHEN 0 THEN 'junk' WHEN 1 THEN 'junk' WHEN 2 THEN 'keep' WHEN 3 THEN 'review' WHEN 4 THEN 'junk' ELSE 'junk' END AS bucket,
-        CASE k WHEN 0 THEN 'blank' WHEN 1 THEN 'list or menu' WHEN 2 THEN 'strong signals' WHEN 3 THEN 'mixed signals' WHEN 4 THEN 'interface text' ELSE CASE WHEN c < 25 THEN 'too little text' ELSE 'few signals' END END AS reason
-        FROM (SELECT o_orderkey, o_orderkey % 6 AS k, o_custkey % 100 AS c FROM orders)""",
+    f"""SELECT o_orderkey, CASE WHEN gray_mean >= 247 AND gray_stddev < 8 AND n < 20 THEN 'junk' WHEN n < 12 AND avg_conf < 25 THEN 'junk' WHEN list > 0 AND junk >= 2 AND prof = 0 THEN 'junk' WHEN junk >= 3 AND prof <= 1 THEN 'junk'
+            WHEN strong >= 4 AND junk <= 1 THEN 'keep' WHEN weak >= 2 THEN 'review' ELSE 'junk' END AS bucket,
+        CASE WHEN gray_mean >= 247 AND gray_stddev < 8 AND n < 20 THEN 'mostly_white_blank' WHEN n < 12 AND avg_conf < 25 THEN 'too_little_text' WHEN list > 0 AND junk >= 2 AND prof = 0 THEN 'clear_list_or_menu' WHEN junk >= 3 AND prof <= 1 THEN 'ui_heavy_text'
+            WHEN strong >= 4 AND junk <= 1 THEN 'strong_profile_signals' WHEN weak >= 2 THEN 'ambiguous_or_partial_profile' ELSE 'low_signal' END AS reason
+        FROM (SELECT *, (prof >= 3)::int + contains(low, 'united states')::int + (role > 0)::int + (n >= 60)::int + (rows >= 3)::int + (avg_conf >= 35)::int + (edge_mean >= 8)::int AS strong,
+            (n >= 20)::int + (rows >= 2)::int + (prof >= 1)::int + (edge_mean >= 5)::int AS weak
+        FROM (SELECT *, length(x) AS n, len(list_filter(string_split(x, chr(10)), lambda s: trim(s) <> '')) AS rows, {_HOLDS(_JUNK)} AS junk, {_HOLDS(_PROFILE)} AS prof,
+            {_HOLDS(["all attendees", "filters", "sort", "search"])} AS list, {_HOLDS(["director", "manager", "chief", "vice president", "vp", "attendee", "representative"])} AS role
+        FROM (SELECT {_CAPTURED}, x, lower(x) AS low FROM orders JOIN (VALUES {", ".join(f"({k}, '" + t.replace(chr(10), "' || chr(10) || '") + "')" for k, t in enumerate(_TEXTS))}) v(k, x) ON k = o_orderkey % {len(_TEXTS)})))""",
 )(
     lambda t: jobs.triage(
-        t["orders"].select("o_orderkey", F.expr(_CAPTURE).alias("raw_text"), F.when(F.col("o_orderkey") % 6 == 0, 250).otherwise(100).alias("gray_mean"), F.lit(5).alias("gray_stddev"), F.lit(4).alias("edge_mean"), (F.col("o_custkey") % 100).alias("avg_conf")),
+        t.spark.sql(f"SELECT {_CAPTURED} FROM {{orders}}", orders=t["orders"]).withColumn("raw_text", F.element_at(F.array(*(F.lit(x) for x in _TEXTS)), (F.col("o_orderkey") % len(_TEXTS) + 1).cast("int"))),
         _JUNK,
         _PROFILE,
     ).select("o_orderkey", "bucket", "reason")
@@ -313,10 +334,14 @@ query(
         list_extract(['company', 'person', 'person', 'company', 'company'], cast(c_custkey % 5 + 1 AS int)) AS kind FROM customer""",
 )(lambda t: t["customer"].select("c_custkey", jobs.SUBTYPE.on(F.expr(_CARD)).alias("subtype"), jobs.record_kind(F.lit("Acme Labs 9"), F.expr(_CARD), ["labs"]).alias("kind")))
 
-query("r11_detector_gate", "SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'view') = 0 THEN 2 WHEN max(value) FILTER (event_type = 'view') > 60 THEN 1 ELSE 0 END AS code FROM events GROUP BY 1")(
+query(
+    "r11_detector_gate",
+    "SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'view') = 0 THEN 2 WHEN max(value + CASE WHEN event_id % 3 = 0 THEN value / 2 ELSE 0 END) FILTER (event_type = 'view') > 60 THEN 1 ELSE 0 END AS code FROM events GROUP BY 1",
+)(
     lambda t: t["events"]
+    .withColumn("assisted", F.when(F.col("event_id") % 3 == 0, F.col("value") / 2))
     .groupBy("user_id")
-    .agg(A.count_if(F.col("event_type") == "view").alias("asked"), F.max(F.when(F.col("event_type") == "view", F.col("value"))).alias("most"))
+    .agg(A.count_if(F.col("event_type") == "view").alias("asked"), F.max(F.when(F.col("event_type") == "view", monitors.machine_share("value", "assisted"))).alias("most"))
     .select("user_id", F.when(F.col("asked") == 0, 2).when(F.col("most") > 60, 1).otherwise(0).alias("code"))
 )
 
@@ -372,7 +397,7 @@ query(
 
 _FILINGS = """SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE 'Maker ' || l_suppkey % 40 || CASE WHEN l_linenumber % 2 = 0 THEN ', Inc.' ELSE ' LLC' END END AS applicant,
     CASE WHEN l_linenumber > 2 THEN 'Device ' || l_partkey % 5 END AS device, CASE l_returnflag WHEN 'R' THEN 'DENG' WHEN 'A' THEN 'sese' ELSE 'SESK' END AS decision_code,
-    {day} AS decided, 'P' || l_partkey % 9 AS product_code, CASE l_partkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 2 THEN 'FR' END AS country, '86' || l_partkey % 10 || '.' || l_suppkey % 4 AS regulation FROM {lineitem}"""
+    {day} AS decided, 'P' || l_partkey % 9 AS product_code, CASE l_partkey % 6 WHEN 0 THEN 'US' WHEN 1 THEN ' de' WHEN 2 THEN 'FR ' WHEN 3 THEN ' ' WHEN 4 THEN 'DE' END AS country, '86' || l_partkey % 10 || '.' || l_suppkey % 4 AS regulation FROM {lineitem}"""
 _SCOPE, _VETO = [("862", "chemistry"), ("864", "blood"), ("864.1", "stains"), ("868", "air")], [("862.3",), ("868.0",)]
 _SPARK_DAY = "CASE WHEN l_orderkey % 2 = 0 THEN date_format(l_shipdate, 'yyyyMMdd') ELSE date_format(l_shipdate, 'yyyy-MM-dd') END"
 query(
@@ -380,7 +405,7 @@ query(
     f"""SELECT key, company, filings, codes, categories, last_filing, sample_device, country, lifetime FROM (
         SELECT key, arg_min(applicant, ord) AS company, count(*) AS filings, count(DISTINCT product_code) AS codes, string_agg(DISTINCT category, ' | ' ORDER BY category) AS categories, max(decided) AS last_filing, arg_min(device, ord) AS sample_device
         FROM scoped GROUP BY key)
-        JOIN (SELECT key, coalesce(country, '') AS country FROM scoped GROUP BY key, country QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(ord)) = 1) USING (key)
+        JOIN (SELECT key, place AS country FROM (SELECT *, coalesce(nullif(upper(trim(country)), ''), 'US') AS place FROM scoped) GROUP BY key, place QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(ord)) = 1) USING (key)
         JOIN (SELECT key, count(*) AS lifetime FROM cleared GROUP BY 1) USING (key) WHERE last_filing >= date '2001-06-01'""",
     ctes=f"""cleared AS (SELECT *, 'maker ' || split_part(split_part(replace(applicant, ',', ''), ' ', 2), ' ', 1) AS key FROM ({_FILINGS.format(day="cast(l_shipdate AS date)", lineitem="lineitem")}) WHERE upper(decision_code) LIKE 'SE%' AND applicant <> ''),
         scoped AS (SELECT *, CASE WHEN regulation LIKE '862%' THEN 'chemistry' WHEN regulation LIKE '864.1%' THEN 'stains' WHEN regulation LIKE '864%' THEN 'blood' ELSE 'air' END AS category FROM cleared
@@ -420,8 +445,11 @@ query("n05_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN cast(
 query("n06_defaults", "SELECT deal_id, coalesce(attributed_rep, '(unnamed)') AS rep, coalesce(attributed_campaign, '') AS campaign FROM deal_dim", ("deal_dim",))(
     lambda t: t["deal_dim"].select("deal_id", F.coalesce("attributed_rep", F.lit("(unnamed)")).alias("rep"), F.coalesce("attributed_campaign", F.lit("")).alias("campaign"))
 )
-query("n07_clean_lines", "SELECT c_custkey, c_name || '|' || c_mktsegment AS lines FROM customer")(
-    lambda t: t["customer"].select("c_custkey", F.array_join(records.clean_lines(F.array(F.concat(F.lit("** "), "c_name", F.lit(" ,")), F.lit(" - "), F.concat("c_mktsegment", F.lit(".")))), "|").alias("lines"))
+query("n06_names", "SELECT c_custkey, coalesce(n_name, cast(c_nationkey AS string)) AS nation FROM customer LEFT JOIN (SELECT n_nationkey AS c_nationkey, n_name FROM nation WHERE n_nationkey < 12) USING (c_nationkey)")(
+    lambda t: joins.lookup(t["customer"].select("c_custkey", "c_nationkey"), t["nation"].filter("n_nationkey < 12").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation")), "c_nationkey", "nation", F.col("c_nationkey").cast("string")).select("c_custkey", "nation")
+)
+query("n07_clean_lines", "SELECT c_custkey, c_name || '|' || c_mktsegment || chr(39) || '|a b' || chr(39) AS lines FROM customer")(
+    lambda t: t["customer"].select("c_custkey", F.array_join(records.clean_lines(F.array(F.concat(F.lit("** "), "c_name", F.lit(" ,")), F.lit(" - "), F.concat(F.lit("'"), "c_mktsegment", F.lit("'.")), F.lit("\ta \t b'-."))), "|").alias("lines"))
 )
 query("n08_noise", "SELECT c_custkey, c_mktsegment IN ('BUILDING', 'FURNITURE') OR c_name LIKE '%7' AS noise FROM customer")(
     lambda t: t["customer"].select("c_custkey", (records.is_noise(F.col("c_mktsegment"), ["building"], ["^furn"]) | records.is_noise(F.col("c_name"), [""], ["7$"])).alias("noise"))
@@ -452,11 +480,16 @@ query("n17_horizon", "SELECT event_id FROM events WHERE ts < timestamp '2024-01-
     .select("event_id")
 )
 query("n18_status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")(lambda t: t["orders"].groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n")))
-query("n19_clean_text", "SELECT p_partkey, p_name || chr(10) || p_type AS text FROM part")(lambda t: t["part"].select("p_partkey", strings.clean_text(F.concat(F.lit(" \""), "p_name", F.lit("\f\n["), "p_type", F.lit("]  "))).alias("text")))
+query("n19_clean_text", "SELECT p_partkey, '\"' || p_name || ' ' || chr(10) || p_type || '{}' || chr(10) || 'x y' AS text FROM part")(
+    lambda t: t["part"].select("p_partkey", strings.clean_text(F.concat(F.lit(" \t\""), "p_name", F.lit("\f\n\n\n[“"), "p_type", F.lit("”]{}\n(x_ \t©@y»)\n "))).alias("text"))
+)
 query("n20_json_summary", """SELECT o_orderstatus, '{"n":' || count(*) || ',"first":' || min(o_orderkey) || '}' AS summary FROM orders GROUP BY 1""")(
     lambda t: t["orders"].groupBy("o_orderstatus").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))).alias("summary"))
 )
 query("n21_verdict", "SELECT event_id, value <= 20 AS ok FROM events")(lambda t: t["events"].select("event_id", (F.col("value") <= 20).alias("ok")))
+query("n22_outcomes", "SELECT * FROM (VALUES ('table', 'data', (SELECT count(*) FROM region)), ('absent', 'missing', NULL), ('broken', 'error', NULL)) v(source, kind, rows)")(
+    lambda t: monitors.outcomes(t.spark, {"table": lambda: t["region"], "absent": lambda: t.spark.table("no_such_table"), "broken": lambda: t["region"].select("no_such_column")})
+)
 query("n23_report_order", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")(lambda t: t["customer"].groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c_mktsegment"))
 query("e03_sheet_edits", "SELECT event_id AS row, event_type AS name, cast(ts AS date) AS date FROM events WHERE event_id > 1 AND event_id % 7 = 3 AND event_type IN ('error', 'signup')")(
     lambda t: monitors.edits(

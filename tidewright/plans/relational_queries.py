@@ -226,7 +226,6 @@ query(
         ],
         "rep",
         ["deals", "campaigns", "appointments"],
-        null_safe=True,
     )
 )
 

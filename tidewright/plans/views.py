@@ -169,7 +169,7 @@ def headline(t: Funnel) -> DataFrame:
         A.distinct_if("lead_email", F.col("is_positive")).alias("total_positives"),
         A.distinct_if("lead_email", F.col("is_call_booked")).alias("total_calls_booked"),
     )
-    won = t["deal_dim"].agg(A.count_if(_won()).alias("closed_won_count"), F.round(A.sum_if("amount", _won()), 2).alias("closed_won_revenue"))
+    won = t["deal_dim"].agg(A.count_if(_won()).alias("closed_won_count"), A.sum_if("amount", _won()).alias("closed_won_revenue"))
     return _volume(t, "total_sent", "total_replied").crossJoin(leads).crossJoin(won).select(F.lit(1).alias("id"), "*")
 
 
@@ -187,9 +187,9 @@ def per_rep_mpc(t: Funnel) -> DataFrame:
         F.count_distinct("conv_id").alias("total_meetings"),
     )
     won = _won() & A.flag("campaign_is_mpc")
-    deals = t["deal_dim"].groupBy(F.col("attributed_rep").alias("rep")).agg(A.count_if(won).alias("deals"), F.round(A.sum_if("amount", won), 2).alias("revenue"))
+    deals = t["deal_dim"].groupBy(F.col("attributed_rep").alias("rep")).agg(A.count_if(won).alias("deals"), A.sum_if("amount", won).alias("revenue"))
     counts = ["sent", "replied", "interested", "calls", "mpc_meetings", "total_meetings", "deals", "revenue"]
-    out = joins.spine([sent, flagged, deals, meetings], "rep", counts, null_safe=True)
+    out = joins.spine([sent, flagged, deals, meetings], "rep", counts)
     return out.select(F.coalesce("rep", F.lit(NO_REP)).alias("rep"), *counts)
 
 
@@ -217,14 +217,14 @@ def per_rep_nonmpc(t: Funnel) -> DataFrame:
         .groupBy(F.coalesce("attributed_rep", F.lit(NO_REP)).alias("rep"))
         .agg(
             A.count_if(won).alias("closed_won"),
-            F.round(A.sum_if("amount", won), 2).alias("won_amount"),
+            A.sum_if("amount", won).alias("won_amount"),
             A.count_if(other & ~lost).alias("active_pipeline"),
             A.count_if(other & lost).alias("lost"),
             F.count(F.lit(1)).alias("total"),
         )
     )
     counts = ["threads", "positives", "calls", "closed_won", "won_amount", "active_pipeline", "lost", "total"]
-    return joins.spine([threads, deals], "rep", counts).select("rep", *counts, F.round(A.ratio("closed_won", "total"), 6).alias("close_rate"))
+    return joins.spine([threads, deals], "rep", counts).select("rep", *counts, A.ratio("closed_won", "total").alias("close_rate"))
 
 
 def _breakdown(t: Funnel, by: str, fallback: str) -> DataFrame:
@@ -293,7 +293,7 @@ def positive_replies(t: Funnel) -> DataFrame:
 def reconciliation(t: Funnel) -> DataFrame:
     """Funnel totals counted by thread, and what is lost from step to step."""
     threads = snapshots.latest(t["thread_snapshot"]).agg(A.count_if(_positive()).alias("positives"), A.count_if(_booked()).alias("calls"))
-    won = t["deal_dim"].agg(A.count_if(_won()).alias("deals"), F.round(A.sum_if("amount", _won()), 2).alias("revenue"))
+    won = t["deal_dim"].agg(A.count_if(_won()).alias("deals"), A.sum_if("amount", _won()).alias("revenue"))
     return (
         _volume(t, "sent", "replied")
         .crossJoin(threads)
@@ -321,7 +321,7 @@ def _campaign_threads(t: Funnel) -> DataFrame:
 
 def _campaign_deals(t: Funnel) -> DataFrame:
     won = t["deal_dim"].filter(_won()).withColumn("campaign_name", F.coalesce("attributed_campaign", F.lit(NO_CAMPAIGN)))
-    return won.groupBy("campaign_name").agg(F.bool_or(A.flag("campaign_is_mpc")).alias("deal_is_mpc"), F.count(F.lit(1)).alias("deals"), F.round(A.total("amount"), 2).alias("won_amount"))
+    return won.groupBy("campaign_name").agg(F.bool_or(A.flag("campaign_is_mpc")).alias("deal_is_mpc"), F.count(F.lit(1)).alias("deals"), A.total("amount").alias("won_amount"))
 
 
 def _campaigns(t: Funnel) -> DataFrame:
@@ -362,7 +362,7 @@ def meeting_deal_ratio(t: Funnel) -> DataFrame:
         "is_mpc",
         "calls_booked",
         "deals_won",
-        F.round("ratio", 6).alias("ratio"),
+        "ratio",
         A.flag(called & (F.col("ratio") > 0) & (F.col("ratio") >= F.col("top"))).alias("is_top_decile"),
         A.flag(called & (F.col("ratio") <= F.col("bottom"))).alias("is_bottom_decile"),
     )
@@ -384,7 +384,7 @@ def per_candidate(t: Funnel) -> DataFrame:
     industry = mine.join(where, "lead_email").groupBy("candidate").agg(F.mode("industry", True).alias("industry"))
     counts = ["campaigns", "sent", "replied", "positives", "calls"]
     both = campaigns.join(funnel, "candidate", "full_outer").fillna(0, subset=counts).join(industry, "candidate", "left")
-    return both.select("candidate", "partner_rep", *counts, F.round(A.ratio("positives", "sent"), 6).alias("pos_rate"), "industry")
+    return both.select("candidate", "partner_rep", *counts, A.ratio("positives", "sent").alias("pos_rate"), "industry")
 
 
 def cohort_summary(t: Funnel) -> DataFrame:
@@ -393,10 +393,10 @@ def cohort_summary(t: Funnel) -> DataFrame:
     today = snapshots.latest(t["campaign_snapshot"]).select("campaign_id", "sent_count", "replied_count")
     campaigns = t["campaign_dim"].join(today, "campaign_id", "left").groupBy("is_mpc").agg(F.count_distinct("campaign_id").alias("campaigns"), A.total("sent_count").alias("sent"), A.total("replied_count").alias("replied"))
     funnel = thread_rep_attribution(t).groupBy(A.flag("campaign_is_mpc").alias("is_mpc")).agg(A.distinct_if("lead_email", F.col("is_positive")).alias("positives"), A.distinct_if("conv_id", F.col("is_call_booked")).alias("calls"))
-    deals = t["deal_dim"].groupBy(A.flag("campaign_is_mpc").alias("is_mpc")).agg(A.count_if(_won()).alias("closed_won"), F.round(A.sum_if("amount", _won()), 2).alias("revenue"))
+    deals = t["deal_dim"].groupBy(A.flag("campaign_is_mpc").alias("is_mpc")).agg(A.count_if(_won()).alias("closed_won"), A.sum_if("amount", _won()).alias("revenue"))
     counts = ["campaigns", "sent", "replied", "positives", "calls", "closed_won", "revenue"]
     out = cohorts.join(campaigns, "is_mpc", "left").join(funnel, "is_mpc", "left").join(deals, "is_mpc", "left").fillna(0, subset=counts)
-    return out.select("cohort", *counts, F.round(A.ratio("replied", "sent"), 6).alias("reply_rate"), F.round(A.ratio("calls", "positives"), 6).alias("meeting_to_positive"))
+    return out.select("cohort", *counts, A.ratio("replied", "sent").alias("reply_rate"), A.ratio("calls", "positives").alias("meeting_to_positive"))
 
 
 #: name: (view, its key, the views it builds on).

@@ -14,8 +14,11 @@ URL_HEADERS = ("url", "link", "imdb", "href", "website", "company_url")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a temporary one where none is named."""
+    """A new path in the cluster's shared folder; under a local master a temporary one where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='tidewright-')}/{name}-{uuid.uuid4().hex}"
 
 
