@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from .common import cut, slices, table
 
 #: Distinct labelled values a kind that learning reads at most, and their length; distinct tokens that a task holds, with their counts or scores.
-MAX_VALUES, MAX_LENGTH, HELD_TOKENS = 2000, 256, 300_000
+MAX_VALUES, MAX_LENGTH, HELD_TOKENS = 2000, 256, 100_000
 #: Labelled values below which each sets the threshold by what the others say.
 FEW = 8
 #: Significance of a merge; labelled values that may fall below the threshold.
