@@ -164,9 +164,11 @@ def prune(x: np.ndarray, degree: int = DEGREE, factor: float = FACTOR) -> list[n
 def search(queries: np.ndarray, x: np.ndarray, graph: list[np.ndarray], link: float = LINK) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of the rows in range that a range-expanding greedy search meets.
 
-    All queries advance together. Each holds the rows it has met; in a step it
-    expands the best unexpanded rows of its beam, and all those within
-    ``SLACK`` of the range. A query ends when nothing is left to expand.
+    All queries advance together. Each holds the ``BEAM`` best rows it has met;
+    in a step it expands the best one that isn't expanded yet, and all rows
+    that it met in the last step within ``SLACK`` of the range. A query ends
+    when nothing is left to expand. The work of a step follows the rows that
+    are met in it.
     """
     q, n = len(queries), len(x)
     if not q or not n:
@@ -175,38 +177,51 @@ def search(queries: np.ndarray, x: np.ndarray, graph: list[np.ndarray], link: fl
     table_ = np.full((n, max(width, 1)), -1, np.int64)
     for i, a in enumerate(graph):
         table_[i, : len(a)] = a
-    met = np.full((q, n), -2.0)
-    opened = np.zeros((q, n), bool)
-    centre = x @ x.sum(axis=0)
-    starts = [int(centre.argmax())]
+    seen, opened = np.zeros((q, n), bool), np.zeros((q, n), bool)
+    value, held = np.full((q, BEAM), -2.0), np.full((q, BEAM), -1)
+    found: list[np.ndarray] = []
+
+    def meet(flat: np.ndarray) -> np.ndarray:
+        """Take new (query, row) pairs in, and return those near the range."""
+        a, b = flat // n, flat % n
+        like = np.concatenate([np.einsum("ij,ij->i", queries[u], x[v]) for u, v in zip(np.array_split(a, 1 + len(a) // 65_536), np.array_split(b, 1 + len(b) // 65_536), strict=True)])
+        seen[a, b] = True
+        found.append(flat[like >= link])
+        order = np.lexsort((-like, a))
+        who, best = a[order], like[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        some = place < BEAM
+        rows = np.unique(who)
+        at = np.searchsorted(rows, who[some])
+        new, new_held = np.full((len(rows), BEAM), -2.0), np.full((len(rows), BEAM), -1)
+        new[at, place[some]], new_held[at, place[some]] = best[some], b[order][some]
+        both, both_held = np.concatenate([value[rows], new], 1), np.concatenate([held[rows], new_held], 1)
+        pick = np.argpartition(-both, BEAM - 1, axis=1)[:, :BEAM]
+        value[rows], held[rows] = np.take_along_axis(both, pick, 1), np.take_along_axis(both_held, pick, 1)
+        return flat[like >= link - SLACK]
+
+    starts = [int((x @ x.sum(axis=0)).argmax())]
     far = x @ x[starts[0]]
     for _ in range(min(STARTS, n) - 1):  # further medoids: each the row least like those before
         starts.append(int(far.argmin()))
         far = np.maximum(far, x @ x[starts[-1]])
-    met[:, starts] = queries @ x[starts].T
     active = np.arange(q)
+    near = meet((active[:, None] * n + np.unique(starts)).ravel())
     while len(active):
-        shut = np.where(opened[active], -2.0, met[active])
-        k = min(BEAM, n)
-        bar = -np.partition(-met[active], k - 1, axis=1)[:, k - 1]  # the beam's worst
+        mine = held[active]
+        shut = np.where((mine >= 0) & ~opened[active[:, None], mine], value[active], -2.0)
         best = shut.argmax(axis=1)
-        value = shut[np.arange(len(active)), best]
-        go = (value > -2.0) & (value >= bar)
-        ranged = np.argwhere(shut >= link - SLACK)
-        pairs = np.concatenate([np.stack([active[go], best[go]], 1), np.stack([active[ranged[:, 0]], ranged[:, 1]], 1)])
-        if not len(pairs):
-            break
-        opened[pairs[:, 0], pairs[:, 1]] = True
-        who = np.repeat(pairs[:, 0], table_.shape[1])
-        row = table_[pairs[:, 1]].ravel()
-        new = row >= 0
-        new[new] = met[who[new], row[new]] == -2.0
-        flat = np.unique(who[new] * n + row[new])
-        for some in np.array_split(flat, max(1, len(flat) // 65_536)):
-            a, b = some // n, some % n
-            met[a, b] = np.einsum("ij,ij->i", queries[a], x[b])
-        active = np.unique(pairs[:, 0])
-    return tuple(np.argwhere(met >= link).T)
+        go = shut[np.arange(len(active)), best] > -2.0
+        pairs = np.unique(np.concatenate([active[go] * n + mine[go, best[go]], near]))
+        pairs = pairs[~opened.ravel()[pairs]]
+        opened.ravel()[pairs] = True
+        active = np.unique(pairs // n)
+        who, row = np.repeat(pairs // n, table_.shape[1]), table_[pairs % n].ravel()
+        flat = np.unique((who * n + row)[row >= 0])
+        flat = flat[~seen.ravel()[flat]]
+        near = meet(flat) if len(flat) else flat
+    pairs = np.sort(np.concatenate(found))
+    return pairs // n, pairs % n
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
