@@ -48,7 +48,7 @@ CONTEXT, END_ID = 2048, 1
 #: Buckets of the hashed vector, dimensions and bits a dimension of the curve.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
 #: White-space pieces whose ids a worker remembers, beside those of one slice.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 SEED = 20_240_601
 #: Documents whose keys decide where the stretches of the curve end.
 SAMPLE = 20_000
@@ -198,6 +198,9 @@ class Pieces:
         for w in new:
             if w.isascii() and w.isalpha():
                 base, stops = w.lower(), ""
+                if base == w:  # not in the cache, or it wouldn't be new
+                    cache[w] = array(code, [t.id for t in merges(w)]).tobytes()
+                    continue
             elif (m := _LATIN(w)) is not None and "\u0130" not in w:
                 base, stops = m.groups()
                 base = base.lower()
