@@ -6,6 +6,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import harness
 import numpy as np
 import public_tokenizers
 import pytest
@@ -293,6 +294,44 @@ def test_vectors_compare_exactly_where_the_search_falls_short(spark, monkeypatch
     assert [got[i] for i in range(len(x))] == ((u @ u.T >= vectors.LINK).sum(axis=1) - 1).tolist()
 
 
+def test_large_shards_are_parted_again(spark, monkeypatch):
+    for name, value in {"MAX_CENTRES": 6, "SPLIT_ROWS": 120, "SPLIT_TASK": 50, "SHARD_ROWS": 60, "PART_ROWS": 80}.items():
+        monkeypatch.setattr(vectors, name, value)
+    sizes = []
+    refine = vectors.refine
+
+    def watched(placed, before, overlap):
+        after = refine(placed, before, overlap)
+        sizes.append((before.count(), vectors.shard_sizes(after).count()))
+        assert after.count() == placed.count()
+        return after
+
+    monkeypatch.setattr(vectors, "refine", watched)
+    draw = np.random.default_rng(11)
+    # Small groups in wide space, a dense group that no centres may cut, and vectors of another length.
+    x = np.concatenate([*(ball(draw, 6, 0.04) for _ in range(90)), ball(draw, 200, 0.02)])
+    rows = [*enumerate(x.tolist()), (len(x), [1.0, 2.0]), (len(x) + 1, [1.0, 2.01])]
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sizes and all(after > before for before, after in sizes)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= vectors.LINK
+    np.fill_diagonal(near, False)
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum()
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (len(x), len(x) + 1)] == [(1, len(x)), (1, len(x))]
+
+
+def test_centres_of_a_dense_group_are_one():
+    x = ball(np.random.default_rng(1), 300, 0.01)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(vectors.fit_centres(x, 8)) == 1
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_vectors_query_matches_its_sql(spark, sf):
+    assert harness.differences(spark, vectors.op4_vectors, vectors.SQL, f"/root/testdata/sf{sf}") == []
+
+
 def test_vectors_query_against_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
     x = np.array([r["embedding"] for r in rows], float)

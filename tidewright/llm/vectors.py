@@ -1,7 +1,12 @@
 """Near-duplicate embeddings by search in a robust-pruned flat graph.
 
 Centres fitted to a bounded sample part the vectors into shards that overlap:
-each vector belongs to its ``OVERLAP`` nearest centres. In every shard each
+each vector belongs to its ``OVERLAP`` nearest centres. A shard of more than
+``SPLIT_ROWS`` vectors is parted again by centres of its own, fitted to its own
+bounded sample, each vector going to one centre less than it has shards; so
+shards keep their size up to ``MAX_CENTRES`` squared of them. Centres within the
+link cosine of one another are one centre, so that no dense group is cut by
+centres of its own. In every shard each
 vector gets its robust-pruned neighbours (a candidate is dropped if a chosen
 neighbour is nearer to it by a factor), and every vector is made reachable
 from the shard's medoid. The adjacency lists of a vector's shards are united
@@ -21,7 +26,7 @@ Recall is audited: for at most ``AUDIT`` vectors chosen by hash, and as many of
 those with few links, links are counted against all vectors by brute force,
 and the lower mean of the two counts. Below ``RECALL`` the search is repeated
 with twice the overlap; where that is all shards and still isn't enough, all
-parts are compared exactly.
+vectors of a length are one shard, whose parts are compared exactly.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components have no links and are components of their own; vectors link with
@@ -49,6 +54,8 @@ from .graph import components
 
 #: Cosine that links; vectors, and their bytes, that centres are fitted to; centres at most; vectors of a shard on average, and of a part at most.
 LINK, SAMPLE, SAMPLE_BYTES, MAX_CENTRES, SHARD_ROWS, PART_ROWS = 0.95, 20_000, 40_000_000, 4096, 768, 1024
+#: Vectors of a shard beyond which it is parted again, and of them in a task that does so; bits of a shard's number at each level.
+SPLIT_ROWS, SPLIT_TASK, BITS = 6144, 8192, 20
 #: Nearest centres of a vector; neighbours of a vector in a shard, and candidates for them; pruning factor; beam of the greedy search; medoids it starts from.
 OVERLAP, DEGREE, CANDIDATES, FACTOR, BEAM, STARTS = 3, 16, 48, 1.2, 12, 4
 #: How far below the link cosine the range search still expands; audited vectors; links of those that have few; recall asked for.
@@ -97,7 +104,23 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         sums = np.add.reduceat(x[order], starts, axis=0)
         centres = centres.copy()
         centres[near[order][starts]] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centres
+    return apart(centres)
+
+
+def apart(centres: np.ndarray, link: float = LINK) -> np.ndarray:
+    """The centres without those within ``link`` of one before them."""
+    left = np.ones(len(centres), bool)
+    for i in range(len(centres)):
+        if left[i]:
+            left[i + 1 :] &= centres[i + 1 :] @ centres[i] < link
+    return centres[left]
+
+
+def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of each row's ``k`` nearest centres, ascending."""
+    like = x @ centres.T
+    k = min(k, like.shape[1])
+    return np.sort(np.argpartition(-like, k - 1, axis=1)[:, :k], axis=1)
 
 
 def prune(x: np.ndarray, degree: int = DEGREE, factor: float = FACTOR) -> list[np.ndarray]:
@@ -108,13 +131,13 @@ def prune(x: np.ndarray, degree: int = DEGREE, factor: float = FACTOR) -> list[n
     the row go.
     """
     n = len(x)
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ x.T)))
-    np.fill_diagonal(apart, np.inf)
+    gaps = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ x.T)))
+    np.fill_diagonal(gaps, np.inf)
     k = min(CANDIDATES, n - 1)
     near: list[list[int]] = [[] for _ in range(n)]
     if k > 0:
-        pool = np.argpartition(apart, k - 1, axis=1)[:, :k]
-        left = np.take_along_axis(apart, pool, 1)
+        pool = np.argpartition(gaps, k - 1, axis=1)[:, :k]
+        left = np.take_along_axis(gaps, pool, 1)
         order = np.argsort(left, axis=1, kind="stable")
         pool, own = np.take_along_axis(pool, order, 1), np.take_along_axis(left, order, 1)
         left = own.copy()
@@ -128,10 +151,10 @@ def prune(x: np.ndarray, degree: int = DEGREE, factor: float = FACTOR) -> list[n
             chosen = pool[rows, pick]
             for r, p in zip(rows.tolist(), chosen.tolist(), strict=True):
                 near[r].append(p)
-            gone = factor * apart[chosen[:, None], pool[rows]] <= own[rows]
+            gone = factor * gaps[chosen[:, None], pool[rows]] <= own[rows]
             gone[np.arange(len(rows)), pick] = True
             left[rows] = np.where(gone, np.inf, left[rows])
-    np.fill_diagonal(apart, 0.0)
+    np.fill_diagonal(gaps, 0.0)
     both = [set(a) for a in near]
     for r, a in enumerate(near):  # both ways, as far as the other side has room
         for p in a:
@@ -152,7 +175,7 @@ def prune(x: np.ndarray, degree: int = DEGREE, factor: float = FACTOR) -> list[n
         if not len(out):
             return [np.array(sorted(b), np.int64) for b in both]
         inside = np.flatnonzero(reached)
-        gap = apart[np.ix_(out, inside)]
+        gap = gaps[np.ix_(out, inside)]
         at = np.unravel_index(gap.argmin(), gap.shape)
         a, b = int(inside[at[1]]), int(out[at[0]])
         both[a].add(b)
@@ -244,27 +267,75 @@ def assign(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> Dat
         for batch in slices(batches, 2048):
             for some, x in by_length(batch.column(2).to_pylist()):
                 length, centre = x.shape[1], centres.get(x.shape[1])
-                near = np.zeros((len(x), 1), np.int64)  # a length that wasn't sampled is one shard
-                if centre is not None:
-                    like = x @ centre.T
-                    k = min(overlap, like.shape[1])
-                    near = np.sort(np.argpartition(-like, k - 1, axis=1)[:, :k], axis=1)
+                # A length without centres is one shard.
+                near = np.zeros((len(x), 1), np.int64) if centre is None else nearest(x, centre, overlap)
                 rows = batch.take(pa.array(some))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((near + (length << 20)).tolist(), pa.list_(pa.int64()))], names=["rep", "mult", "unit", "shards"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((near + (length << BITS)).tolist(), pa.list_(pa.int64()))], names=["rep", "mult", "unit", "shards"])
 
     return reps.select("rep", "mult", "unit").mapInArrow(run, "rep long, mult long, unit binary, shards array<long>")
 
 
+def shard_sizes(placed: DataFrame) -> DataFrame:
+    """(shard, size), materialised."""
+    return cut(placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("size")))
+
+
+def refine(placed: DataFrame, sizes: DataFrame, overlap: int) -> DataFrame:
+    """``placed``, where a shard of more than ``SPLIT_ROWS`` vectors gives way to shards around centres of its own.
+
+    Those are fitted to a bounded sample of the shard, a shard a task, and stay
+    on the executors; a vector has ``overlap`` - 1 of them, or all there are. A
+    shard without two centres that are apart stays whole.
+    """
+    large = sizes.filter(F.col("size") > SPLIT_ROWS)
+    if large.isEmpty():
+        return placed
+    inner = max(1, overlap - 1)
+    # At most MAX_CENTRES shards a length.
+    member = placed.select("rep", "unit", F.explode("shards").alias("shard")).join(small(large), "shard")
+    most = F.least(F.lit(SAMPLE), F.greatest(F.lit(1), F.lit(SAMPLE_BYTES) / F.octet_length("unit")))
+    drawn = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1 << 30)) < most / F.col("size") * F.lit(1 << 30)
+
+    def fit(shard: pa.Table) -> pa.Table:
+        x = matrix(sorted(shard["unit"].to_pylist()))
+        centres = fit_centres(x, min(MAX_CENTRES, -(-shard["size"][0].as_py() * inner // SHARD_ROWS)))
+        some = slice(0, int(len(centres) > 1))
+        return pa.table({"shard": pa.array([shard["shard"][0].as_py()][some], pa.int64()), "centres": pa.array([centres.tobytes()][some], pa.binary()), "size": pa.array([shard["size"][0].as_py()][some], pa.int64())})
+
+    split = cut(member.filter(drawn).select("shard", "unit", "size").groupBy("shard").applyInArrow(fit, "shard long, centres binary, size long"))
+    split = split.withColumn("tasks", F.ceil(F.col("size") / SPLIT_TASK).cast("int"))
+    dealt = member.drop("size").join(small(split.drop("centres", "size")), "shard").withColumn("task", F.pmod(F.xxhash64("rep", F.lit(SEED + 1)), F.col("tasks")).cast("int"))
+    each = split.select("shard", "centres", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+
+    def place(rows: pa.Table, own: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"rep": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "within": pa.array([], pa.list_(pa.int64()))})
+        x = matrix(rows["unit"].to_pylist())
+        centres = np.frombuffer(own["centres"][0].as_py(), np.float64).reshape(-1, x.shape[1])
+        near = nearest(x, centres, inner) + (rows["shard"][0].as_py() << BITS)
+        return pa.table({"rep": rows["rep"], "shard": rows["shard"], "within": pa.array(near.tolist(), pa.list_(pa.int64()))})
+
+    both = dealt.select("shard", "task", "rep", "unit").groupBy("shard", "task").cogroup(each.groupBy("shard", "task"))
+    within = both.applyInArrow(place, "rep long, shard long, within array<long>").groupBy("rep")
+    # At most as many lists as a vector has shards.
+    within = within.agg(F.collect_list("shard").alias("split"), F.flatten(F.collect_list("within")).alias("within"))
+    shards = F.when(F.col("split").isNull(), F.col("shards")).otherwise(F.array_sort(F.concat(F.array_except("shards", "split"), "within")))
+    return cut(placed.join(within, "rep", "left").select("rep", "mult", "unit", shards.alias("shards")))
+
+
 def link_up(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int, link: float, exact: bool = False) -> DataFrame:
     """(u, v, n): n more links of u, or (v given) an edge of the forest.
 
     With ``exact`` all vectors of two parts are compared.
     """
-    placed = assign(reps, centres, overlap)
-    member = placed.withColumn("shard", F.explode("shards"))
-    sizes = member.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("deal"))
-    # One row a centre, of which there are at most MAX_CENTRES a length.
-    member = cut(member.join(small(cut(sizes)), "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int")))
+    first = assign(reps, {} if exact else centres, overlap)
+    sizes = shard_sizes(first)
+    placed = first if exact else refine(first, sizes, overlap)
+    if placed is not first:
+        sizes = shard_sizes(placed)
+    deals = sizes.select("shard", F.ceil(F.col("size") / PART_ROWS).cast("int").alias("deal"))
+    member = placed.withColumn("shard", F.explode("shards")).join(small(deals), "shard")
+    member = cut(member.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int")))
 
     def build(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("rep")
@@ -273,7 +344,7 @@ def link_up(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int, link:
         return pa.table({"rep": pa.array(ids), "near": pa.array([ids[a].tolist() for a in near], pa.list_(pa.int64()))})
 
     lists = member.select("shard", "part", "rep", "unit").groupBy("shard", "part").applyInArrow(build, "rep long, near array<long>")
-    # The union of at most OVERLAP lists of bounded length.
+    # The union of as many lists of bounded length as a vector has shards.
     flat = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     dealt = member.join(flat, "rep").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
     dealt = dealt.withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with"))
@@ -282,7 +353,10 @@ def link_up(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int, link:
         group = group.sort_by("rep")
         part, here = group["part"].to_numpy(), group["shard"][0].as_py()
         ids, mult = group["rep"].to_numpy(), group["mult"].to_numpy()
-        x, shards = matrix(group["unit"].to_pylist()), np.array(group["shards"].to_pylist())
+        x, own = matrix(group["unit"].to_pylist()), group["shards"].to_pylist()
+        shards = np.full((len(own), max(map(len, own))), -1)
+        for k, some in enumerate(own):
+            shards[k, : len(some)] = some
         near = group["near"].to_pylist()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         found = []
@@ -296,7 +370,8 @@ def link_up(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int, link:
         pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
         u, v = pairs[:, 0], pairs[:, 1]
         # The first shard that both belong to counts the pair.
-        common = np.where((shards[u][:, :, None] == shards[v][:, None, :]).any(axis=2), shards[u], np.iinfo(np.int64).max)
+        both = (shards[u][:, :, None] == shards[v][:, None, :]).any(axis=2) & (shards[u] >= 0)
+        common = np.where(both, shards[u], np.iinfo(np.int64).max)
         mine = common.min(axis=1, initial=np.iinfo(np.int64).max) == here
         n = np.zeros(len(ids), np.int64)
         np.add.at(n, u[mine], mult[v[mine]])
@@ -395,3 +470,13 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "emb
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding's links and component."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: For tables of some thousand vectors: the links are those of all pairs.
+SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    usable AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    link AS (SELECT a.vec_id AS u, b.vec_id AS w FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {LINK}),
+    reach AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT w, root FROM reach JOIN link ON u = id),
+    part AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+    deg AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN part ON id = vec_id LEFT JOIN deg ON u = vec_id"""
