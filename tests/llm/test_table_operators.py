@@ -321,6 +321,13 @@ def test_large_shards_are_parted_again(spark, monkeypatch):
     assert [(got[i]["n_links"], got[i]["component_id"]) for i in (len(x), len(x) + 1)] == [(1, len(x)), (1, len(x))]
 
 
+def test_parts_without_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART_ROWS", 1)
+    x = ball(np.random.default_rng(4), 12, 0.01).tolist()
+    got = vectors.near_duplicates(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(11, 0)}
+
+
 def test_centres_of_a_dense_group_are_one():
     x = ball(np.random.default_rng(1), 300, 0.01)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -46,6 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,21 +201,22 @@ def search(queries: np.ndarray, x: np.ndarray, graph: list[np.ndarray], link: fl
     table_ = np.full((n, max(width, 1)), -1, np.int64)
     for i, a in enumerate(graph):
         table_[i, : len(a)] = a
-    seen, opened = np.zeros((q, n), bool), np.zeros((q, n), bool)
+    seen, opened, place_of = np.zeros(q * n, bool), np.zeros(q * n, bool), np.zeros(q * n, np.int32)
     value, held = np.full((q, BEAM), -2.0), np.full((q, BEAM), -1)
     found: list[np.ndarray] = []
 
     def meet(flat: np.ndarray) -> np.ndarray:
-        """Take new (query, row) pairs in, and return those near the range."""
+        """Take new (query, row) pairs in, ascending by query, and return those near the range."""
         a, b = flat // n, flat % n
         like = np.concatenate([np.einsum("ij,ij->i", queries[u], x[v]) for u, v in zip(np.array_split(a, 1 + len(a) // 65_536), np.array_split(b, 1 + len(b) // 65_536), strict=True)])
-        seen[a, b] = True
+        seen[flat] = True
         found.append(flat[like >= link])
-        order = np.lexsort((-like, a))
+        better = np.flatnonzero(like > value.min(axis=1)[a])  # the others don't come among the best
+        order = better[np.lexsort((-like[better], a[better]))]
         who, best = a[order], like[order]
         place = np.arange(len(who)) - np.searchsorted(who, who)
         some = place < BEAM
-        rows = np.unique(who)
+        rows = who[np.flatnonzero(np.diff(who, prepend=-1))]
         at = np.searchsorted(rows, who[some])
         new, new_held = np.full((len(rows), BEAM), -2.0), np.full((len(rows), BEAM), -1)
         new[at, place[some]], new_held[at, place[some]] = best[some], b[order][some]
@@ -232,16 +234,20 @@ def search(queries: np.ndarray, x: np.ndarray, graph: list[np.ndarray], link: fl
     near = meet((active[:, None] * n + np.unique(starts)).ravel())
     while len(active):
         mine = held[active]
-        shut = np.where((mine >= 0) & ~opened[active[:, None], mine], value[active], -2.0)
+        shut = np.where((mine >= 0) & ~opened[active[:, None] * n + mine], value[active], -2.0)
         best = shut.argmax(axis=1)
         go = shut[np.arange(len(active)), best] > -2.0
         pairs = np.unique(np.concatenate([active[go] * n + mine[go, best[go]], near]))
-        pairs = pairs[~opened.ravel()[pairs]]
-        opened.ravel()[pairs] = True
-        active = np.unique(pairs // n)
-        who, row = np.repeat(pairs // n, table_.shape[1]), table_[pairs % n].ravel()
-        flat = np.unique((who * n + row)[row >= 0])
-        flat = flat[~seen.ravel()[flat]]
+        pairs = pairs[~opened[pairs]]
+        opened[pairs] = True
+        active = pairs // n
+        who, row = np.repeat(active, table_.shape[1]), table_[pairs % n].ravel()
+        active = active[np.flatnonzero(np.diff(active, prepend=-1))]
+        flat = (who * n + row)[row >= 0]
+        flat = flat[~seen[flat]]
+        number = np.arange(len(flat), dtype=np.int32)
+        place_of[flat] = number
+        flat = flat[place_of[flat] == number]  # each pair once
         near = meet(flat) if len(flat) else flat
     pairs = np.sort(np.concatenate(found))
     return pairs // n, pairs % n
@@ -357,13 +363,17 @@ def link_up(reps: DataFrame, centres: dict[int, np.ndarray], overlap: int, link:
         shards = np.full((len(own), max(map(len, own))), -1)
         for k, some in enumerate(own):
             shards[k, : len(some)] = some
-        near = group["near"].to_pylist()
+        lists = group["near"].combine_chunks()
+        owner, near = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for a, b in {(i, j), (j, i)}:
             asked, held = np.flatnonzero(part == a), np.flatnonzero(part == b)
-            place = {v: k for k, v in enumerate(ids[held].tolist())}
-            graph = [np.array([place[v] for v in near[h] if v in place], np.int64) for h in held.tolist()]
+            if not len(asked) or not len(held):  # a part without vectors
+                continue
+            at = np.minimum(np.searchsorted(ids[held], near), len(held) - 1)  # ids ascend
+            inside = (part[owner] == b) & (ids[held][at] == near)
+            graph = np.split(at[inside], np.searchsorted(owner[inside], held)[1:])
             u, v = np.nonzero(x[asked] @ x[held].T >= link) if exact else search(x[asked], x[held], graph, link)
             found.append(np.stack([asked[u], held[v]], 1))
         pairs = np.concatenate(found)
