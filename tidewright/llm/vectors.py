@@ -466,9 +466,10 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "emb
             exact, overlap = overlap >= k, 2 * overlap
         joined = small(cut(components(found.filter("v IS NOT NULL"), "u", "v")))
         reps = reps.join(small(counted), "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
-        least = reps.groupBy("root").agg(F.min("least").alias("component_id"))
         links = (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links")
-        reps = cut(reps.select("unit", "root", "mult", links).join(least, "root").select("unit", "n_links", "component_id", "mult"))
+        reps = cut(reps.select("unit", "root", "mult", "least", links))
+        least = cut(reps.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+        reps = cut(join_hot(reps, least, "root", "members").select("unit", "n_links", "component_id", "mult"))
         linked = join_hot(units.filter("unit IS NOT NULL"), reps, "unit", "mult")
     else:
         linked = units.limit(0).select("*", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
