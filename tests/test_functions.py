@@ -155,6 +155,25 @@ def test_producer_addresses(spark):
     assert all(r["ok"] == r["got"] for r in rows), rows
 
 
+def test_zip_of_an_address_is_no_house_number(spark):
+    cases = [
+        ("10000 Main St, Los Angeles, CA 90008, United States", "90008"),
+        ("10000 Main St, Los Angeles, CA 90008-1234, United States", "90008"),
+        ("10000-10004 Main St, Suite 20000, LOS ANGELES, 90034, CA, USA", "90034"),
+        ("Tower B, 10000 Main St, Los Angeles, CA 90008, United States", "90008"),
+        ("10000 High Rd, Los Angeles, CA, United States", None),
+        ("10000B High Rd, Los Angeles, CA, United States", None),
+        ("1 High Rd, 10115 Berlin, Germany", "10115"),
+        ("Los Angeles 90008, CA, United States", "90008"),
+        ("90008, Los Angeles, United States", "90008"),
+        ("100000 High Rd, Los Angeles, CA, United States", None),
+        ("10000 High Rd, Los Angeles", None),
+        (None, None),
+    ]
+    got = spark.createDataFrame(cases, "a string, zip string").select("a", "zip", strings.address(F.col("a"))["zip"].alias("got")).collect()
+    assert all(r["got"] == r["zip"] for r in got), got
+
+
 def test_url_column_by_header(spark):
     df = spark.createDataFrame([("x", "https://a.example/1"), ("y", "https://b.other/2")], "note string, `Company URL` string")
     assert [r["url"] for r in files.url_column(df, "a.example").collect()] == ["https://a.example/1"]

@@ -18,6 +18,12 @@ def test_query_without_sql_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
 
+def test_addresses_of_customers_with_keys_as_long_as_a_zip(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("explode(array(9950, 99950)) AS least", "c_custkey", "c_nationkey")
+    rows.selectExpr("least + c_custkey AS c_custkey", "nullif(c_nationkey, 7) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert harness.differences(spark, plans.QUERIES["f17_address"], plans.ORACLE_SQL["f17_address"], str(tmp_path)) == []
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 

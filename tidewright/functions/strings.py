@@ -85,7 +85,10 @@ def split_name(name: Column, suffixes: Sequence[str] = ("jr", "sr", "ii", "iii",
 
 
 def address(value: Column) -> Column:
-    """struct(city, state, zip, country) of a comma-separated address of three parts or more."""
+    """struct(city, state, zip, country) of a comma-separated address of three parts or more.
+
+    The zip is the last word of five digits; a number before the words of the first part is the house's.
+    """
     parts = F.transform(F.split(value, ","), lambda p: F.trim(p))
     enough = F.size(parts) >= 3
     body = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), ", ")
@@ -94,7 +97,7 @@ def address(value: Column) -> Column:
     return F.struct(
         F.when(enough, city).alias("city"),
         F.when(enough, part(r"(?:^|[ ,])([A-Z]{2})(?=[ ,]|$)")).alias("state"),
-        F.when(enough, part(r"(?:^|[ ,])(\d{5})(?=[ ,-]|$)")).alias("zip"),
+        F.when(enough, part(r"(?s)^(?:\d[^ ,]* )?+(?:.*[ ,])?(\d{5})(?=[ ,-]|$)")).alias("zip"),
         F.when(enough, F.element_at(parts, -1)).alias("country"),
     )
 

@@ -119,7 +119,7 @@ query(
         "a",
         strings.address(
             F.expr(
-                "CASE c_custkey % 3 WHEN 1 THEN c_custkey || ' Main St, Los Angeles, CA 9' || lpad(cast(c_nationkey AS string), 4, '0') || ', United States' WHEN 2 THEN '1 High Rd, Los Angeles, CA, United States' ELSE 'Los Angeles, CA' END"
+                "CASE c_custkey % 3 WHEN 1 THEN c_custkey || ' Main St, Los Angeles, CA' || coalesce(' 9' || lpad(cast(c_nationkey AS string), 4, '0'), '') || ', United States' WHEN 2 THEN '1 High Rd, Los Angeles, CA, United States' ELSE 'Los Angeles, CA' END"
             )
         ),
     )
